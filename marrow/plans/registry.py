@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from marrow.plans import data_quality
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**data_quality.QUERIES}
+SQL: dict[str, str] = {**data_quality.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
