@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marrow.plans import data_quality, knowledge
+from marrow.plans import data_quality, knowledge, pipeline
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | data_quality.QUERIES
-SQL: dict[str, str] = knowledge.SQL | data_quality.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | pipeline.QUERIES | data_quality.QUERIES
+SQL: dict[str, str] = knowledge.SQL | pipeline.SQL | data_quality.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
