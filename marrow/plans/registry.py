@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marrow.plans import contexts, data_quality, knowledge, pipeline
+from marrow.plans import contexts, data_quality, knowledge, pipeline, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | pipeline.QUERIES | contexts.QUERIES | data_quality.QUERIES
-SQL: dict[str, str] = knowledge.SQL | pipeline.SQL | contexts.SQL | data_quality.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | pipeline.QUERIES | contexts.QUERIES | streams.QUERIES | data_quality.QUERIES
+SQL: dict[str, str] = knowledge.SQL | pipeline.SQL | contexts.SQL | streams.SQL | data_quality.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
