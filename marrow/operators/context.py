@@ -49,7 +49,7 @@ def range_snippet(content: Column, start: Column, end: Column, budget: Column) -
     cut = lambda a, b: F.rtrim(F.array_join(F.slice(all_lines, F.greatest(a, F.lit(1)), F.greatest(b - a + 1, F.lit(0))), "\n"), F.lit("\n"))
     wide, core = cut(first, last), cut(start, F.least(end, n))
     chosen = F.when(token_estimate(wide) <= budget, wide).otherwise(core)
-    return F.when((start > n) | (start <= 0) | (end <= 0), "").when(token_estimate(chosen) > budget, "").otherwise(chosen)
+    return F.when((start - SURROUNDING > n) | (start <= 0) | (end <= 0), "").when(token_estimate(chosen) > budget, "").otherwise(chosen)
 
 
 def keyword_line(content: Column, query: str) -> Column:

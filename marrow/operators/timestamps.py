@@ -275,15 +275,16 @@ def zone_code_table(zone_codes: DataFrame) -> dict[str, int]:
 def normalise(df: DataFrame, text: str, zone: Column, order: Column, codes: dict[str, int]) -> DataFrame:
     """``df`` with ``utc_micros`` (NULL if undetermined) and ``status``; one Arrow pass, no shuffle."""
 
+    kept = df.drop("utc_micros", "status") if {"utc_micros", "status"} & set(df.columns) else df
+    n = len(kept.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # columns are taken by place: names of the input may clash with any chosen here
         for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ("_text", "_zone", "_order")]
-            micros, good, status = convert(*(batch.column(k).to_pylist() for k in at), codes)
-            keep = [k for k in range(batch.num_columns) if k not in at]
-            cols = [batch.column(k) for k in keep] + [pa.array(micros, mask=~good), pa.array(status, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*(batch.schema.names[k] for k in keep), "utc_micros", "status"])
+            micros, good, status = convert(*(batch.column(n + k).to_pylist() for k in range(3)), codes)
+            cols = [*(batch.column(k) for k in range(n)), pa.array(micros, mask=~good), pa.array(status, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "utc_micros", "status"])
 
-    kept = df.drop("utc_micros", "status") if {"utc_micros", "status"} & set(df.columns) else df
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema), "utc_micros long", "status string"])
     return kept.select("*", F.col(text).alias("_text"), zone.alias("_zone"), order.alias("_order")).mapInArrow(run, schema)
 

@@ -66,7 +66,7 @@ SQL = {
     "snippet_range": _DOC + f""", e AS (SELECT *, len(l) AS n, CASE WHEN len(l) >= 6 AND NOT {_BLANK.format("l[6]")} THEN 6 ELSE least(5, len(l)) END AS b FROM d),
 c AS (SELECT doc_id, n, rtrim(array_to_string(l[2:b], chr(10)), chr(10)) AS wide, rtrim(array_to_string(l[3:least(5, n)], chr(10)), chr(10)) AS core FROM e),
 p AS (SELECT doc_id, n, CASE WHEN ceil(length(wide) / 4.0) <= 20 THEN wide ELSE core END AS s FROM c)
-SELECT doc_id, CASE WHEN n < 3 OR ceil(length(s) / 4.0) > 20 THEN '' ELSE s END AS snippet FROM p""",
+SELECT doc_id, CASE WHEN n < 2 OR ceil(length(s) / 4.0) > 20 THEN '' ELSE s END AS snippet FROM p""",
     "snippet_keyword": _DOC + "SELECT doc_id, line FROM (SELECT doc_id, list_position(list_transform(l, lambda x: contains(lower(x), 'registry')), true)::INTEGER AS line FROM d) WHERE line > 0",
     "lines_outside": _DOC + f", x AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM d) SELECT doc_id, count(*) FILTER ((i < 2 OR i > 4) AND NOT {_BLANK.format('t')})::INTEGER AS n FROM x GROUP BY doc_id",
 }
