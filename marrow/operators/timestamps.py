@@ -279,14 +279,14 @@ def normalise(df: DataFrame, text: str, zone: Column, order: Column, codes: dict
     n = len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # columns are taken by place: names of the input may clash with any chosen here
         for batch in batches:
             micros, good, status = convert(*(batch.column(n + k).to_pylist() for k in range(3)), codes)
             cols = [*(batch.column(k) for k in range(n)), pa.array(micros, mask=~good), pa.array(status, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "utc_micros", "status"])
 
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema), "utc_micros long", "status string"])
-    return kept.select("*", F.col(text).alias("_text"), zone.alias("_zone"), order.alias("_order")).mapInArrow(run, schema)
+    free = "_" + max(("", *(c for c in kept.columns)), key=len)  # longer than any name there is
+    return kept.select("*", F.col(text).alias(f"{free}_t"), zone.alias(f"{free}_z"), order.alias(f"{free}_o")).mapInArrow(run, schema)
 
 
 def normalise_concepts(concepts: DataFrame, repositories: DataFrame, zone_codes: DataFrame) -> DataFrame:

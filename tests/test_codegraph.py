@@ -55,7 +55,7 @@ def files(spark):
 def test_summaries(files):
     got = {r["path"]: r for r in codegraph.summaries(files).collect()}
     assert got["a.py"]["imports"] == ["os", "x.y"] and got["a.py"]["functions"] == ["A", "f"] and got["a.py"]["line_count"] == 5
-    assert got["bad.go"]["imports"] == ["a"] and got["bad.go"]["functions"] == ["Fine"] and len(got["bad.go"]["warnings"]) == 1 and got["bad.go"]["symbols"] == []
+    assert got["bad.go"]["imports"] == ["a"] and got["bad.go"]["functions"] == ["Broken", "Fine"] and len(got["bad.go"]["warnings"]) == 1 and got["bad.go"]["symbols"] == []
     assert got["cmd/server/main.go"]["type"] == "go" and got["cmd/server/main.go"]["size"] == len(GO)
     assert got["e.rb"]["line_count"] == 0 and got["n.txt"]["type"] == "txt"
 

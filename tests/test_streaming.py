@@ -55,12 +55,11 @@ def test_live_debounce(spark, tmp_path):
     src = spark.readStream.schema(watch.EVENTS).json(str(folder))
     q = watch.debounced_live(src, 500).writeStream.format("memory").queryName("live").outputMode("append").trigger(processingTime="200 milliseconds").start()
     try:
-        q.processAllAvailable()
-        for _ in range(60):
-            rows = spark.table("live").collect()
-            if rows:
+        rows = []
+        for _ in range(60):  # timers run on by themselves, so the query is never idle
+            q.awaitTermination(1)
+            if rows := spark.table("live").collect():
                 break
-            q.awaitTermination(0.5)
         assert [(r["path"], r["op"], r["n"]) for r in rows] == [("a", "write", 2)]
     finally:
         q.stop()
