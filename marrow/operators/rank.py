@@ -32,30 +32,45 @@ MOST_SCORE = 1000
 NAMESPACE = "kb"
 
 
-def signals(q: Column) -> list[tuple[Column, tuple[int, int, str]]]:
-    """Conditions in the order of their reasons; ``q`` is the folded, trimmed query."""
-    title, qualified = ufold(nz("title")), norm_key(custom("qualified_name"))
+#: What the signals are tested on, folded.
+_FIELDS = ("symbol_kind", "relation_kind", "relation_source", "relation_target", "qualified_name")
+
+
+def _folded(name: str) -> Column:
+    return norm_key(custom(name)) if name in _FIELDS else ufold(nz(name))
+
+
+def signals(q: Column, folded=_folded) -> list[tuple[Column, tuple[int, int, str]]]:  # noqa: ANN001
+    """Conditions in the order of their reasons; ``q`` is the folded, trimmed query, ``folded`` gives a folded field."""
+    title, qualified = folded("title"), folded("qualified_name")
     exact_symbol, exact_title = (qualified == q) | (title == q), title == q
 
     def field(name: str) -> Column:
-        v = norm_key(custom(name))
-        return (v != "") & v.contains(q)
+        return (folded(name) != "") & folded(name).contains(q)
 
     return [
         (exact_symbol, EXACT_SYMBOL),
         (~exact_symbol & (qualified != "") & qualified.contains(q), QUALIFIED),
         (exact_title, EXACT_TITLE),
         (~exact_title & title.contains(q), TITLE),
-        (ufold(nz("resource")).contains(q), RESOURCE),
+        (folded("resource").contains(q), RESOURCE),
         (field("symbol_kind"), SYMBOL_KIND),
         (field("relation_kind"), RELATION_KIND),
         (field("relation_source"), RELATION_SOURCE),
         (field("relation_target"), RELATION_TARGET),
-        (ufold(nz("description")).contains(q), DESCRIPTION),
-        (ufold(nz("content")).contains(q), CONTENT),
+        (folded("description").contains(q), DESCRIPTION),
+        (folded("content").contains(q), CONTENT),
     ]
 
 
+def _totals(found: list) -> tuple[Column, Column, Column]:
+    """Score, exactness and reason of the conditions that hold."""
+    total = sum((F.when(c, w[0]).otherwise(0) for c, w in found[1:]), F.when(found[0][0], found[0][1][0]).otherwise(0))
+    exact = F.greatest(*(F.when(c, w[1]).otherwise(0) for c, w in found if w[1]))
+    reason = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(w[2])) for c, w in found))), ", ")
+    return F.least(total, F.lit(MOST_SCORE)), exact, reason
+
+
 def type_rank() -> Column:
     out = None
     for t, r in TYPE_RANK.items():
@@ -90,11 +105,8 @@ def location(path: Column, start: Column, end: Column) -> Column:
 def scored(concepts: DataFrame, q: Column | str) -> DataFrame:
     """``concepts`` with score, exactness and reason; rows that score nothing are dropped."""
     q = F.lit(fold(q.strip(SPACE))) if isinstance(q, str) else q
-    found = signals(q)
-    total = sum((F.when(c, w[0]).otherwise(0) for c, w in found[1:]), F.when(found[0][0], found[0][1][0]).otherwise(0))
-    exact = F.greatest(*(F.when(c, w[1]).otherwise(0) for c, w in found if w[1]))
-    reason = F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(w[2])) for c, w in found))), ", ")
-    return concepts.withColumn("score", F.least(total, F.lit(MOST_SCORE))).where("score > 0").withColumn("exactness", exact).withColumn("reason", reason)
+    score, exactness, reason = _totals(signals(q))
+    return concepts.withColumn("score", score).where("score > 0").withColumn("exactness", exactness).withColumn("reason", reason)
 
 
 def hits(scored_concepts: DataFrame) -> DataFrame:
@@ -157,11 +169,16 @@ def numbered(sorted_rows: DataFrame, name: str) -> DataFrame:
 def many(concepts: DataFrame, queries: Sequence[tuple[int, str]]) -> DataFrame:
     """Result rows of each of several (query_id, text), in one scan of the concepts.
 
-    The queries are a constant of the plan, so each concept meets them where it is read.
+    The queries are a constant of the plan, so a concept is folded once and meets all of them where it is read.
     """
     table = F.array(*(F.struct(F.lit(i).alias("query_id"), F.lit(fold(t.strip(SPACE))).alias("q")) for i, t in queries))
-    each = concepts.withColumn("_q", F.explode(table)).withColumn("query_id", F.col("_q.query_id"))
-    return hits(scored(each, F.col("_q.q")).drop("_q"))
+    names = ("title", "resource", "description", "content", *_FIELDS)
+    # a generator keeps the optimizer from folding again for every query
+    once = concepts.withColumn("_f", F.explode(F.array(F.struct(*(_folded(n).alias(n) for n in names)))))
+    each = once.withColumn("_q", F.explode(table))
+    score, exactness, reason = _totals(signals(F.col("_q.q"), lambda n: F.col(f"_f.{n}")))
+    rows = each.withColumn("score", score).where("score > 0").withColumn("exactness", exactness).withColumn("reason", reason)
+    return hits(rows.withColumn("query_id", F.col("_q.query_id")))
 
 
 def best_of_each(rows: DataFrame, limit: int) -> DataFrame:
