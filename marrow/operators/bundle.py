@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marrow.functions.text import nz
 from marrow.operators.predicates import custom
+from marrow.operators.rank import numbered
 
 
 @dataclass(frozen=True)
@@ -53,9 +54,8 @@ def add_concepts(concepts: DataFrame, new: DataFrame) -> DataFrame:
     last = concepts.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_last"))
     path = F.when(nz("file_path") == "", default_path(nz("type"), nz("title"))).otherwise(F.col("file_path"))
     placed = new.withColumn("file_path", path).withColumn("_given", F.col("ord") if "ord" in new.columns else F.monotonically_increasing_id())
-    # appended rows are few: the bundle itself is not sorted
-    numbered = placed.withColumn("ord", F.row_number().over(Window.orderBy("_given")))
-    shifted = numbered.crossJoin(F.broadcast(last)).withColumn("ord", F.col("ord") + F.col("_last")).drop("_given", "_last")
+    counted = numbered(placed.drop("ord").orderBy("_given"), "_n")
+    shifted = counted.crossJoin(F.broadcast(last)).withColumn("ord", F.col("_n") + F.col("_last")).drop("_given", "_n", "_last")  # one row
     return concepts.unionByName(shifted, allowMissingColumns=True)
 
 

@@ -438,3 +438,69 @@ def include_files(files: DataFrame, include: list[str], exclude_dirs: list[str],
     outside = reduce(lambda a, d: a & ~(path.startswith(d + "/") | (path == d)), exclude_dirs, F.lit(True))
     wanted = reduce(lambda a, g: a | simple_glob_matches(path, g), include, F.lit(False)) if include else F.lit(True)
     return files.where(outside & wanted & (F.col("size").isNull() | (F.col("size") <= max_kb * 1024)))
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+# A report is a DataFrame of lines (part, key columns, line). Long ones (all relations) stay lines, to be written by the
+# executors; those bounded by the number of types, authors or folders can be gathered into one concept.
+
+
+def _counts_section(part: int, counts: DataFrame, key: str) -> DataFrame:
+    return counts.select(F.lit(part).alias("part"), F.col(key).alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("- **"), key, F.lit(":** "), F.col("n").cast("string")).alias("line"))
+
+
+def _heads(spark, rows: list[tuple[int, str]]) -> DataFrame:  # noqa: ANN001
+    return spark.createDataFrame([(p, "", "", t) for p, t in rows], "part int, k1 string, k2 string, line string")
+
+
+def repository_report(summaries_: DataFrame, n_entities: int, n_relations: int, repository: str) -> DataFrame:
+    """Files, entities and relations of a repository, its languages and kinds of symbols, and the files written."""
+    n_files = summaries_.count()
+    head = [
+        (0, f"## Code Repository\n\n**Repository:** `{repository}`\n\n**Repository ID:** `{repository_id(repository)}`\n"),
+        (1, f"**Indexed Files:** {n_files}\n\n**Code Entities:** {n_entities}\n\n**Code Relations:** {n_relations}\n"),
+        (2, "### Language Distribution\n"), (4, "\n### Symbol Counts\n"), (6, "\n### Generated Artifacts\n\n- `project/code_repository.md`\n- `project/code_relations.md`"),
+    ]
+    files = summaries_.select(F.lit(7).alias("part"), F.col("path").alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("- `"), "path", F.lit(".md`")).alias("line"))
+    return reduce(DataFrame.unionByName, [_heads(summaries_.sparkSession, head), _counts_section(3, language_counts(summaries_), "type"), _counts_section(5, symbol_counts(summaries_), "kind"), files])
+
+
+def relation_index_report(relations_: DataFrame) -> DataFrame:
+    """A table row per relation, in the order of relations; two leading lines, as other readers expect them."""
+    target = F.when(nz("target_id") != "", F.col("target_id")).otherwise(nz("target_ref"))
+    place = F.when(F.coalesce("line_no", F.lit(0)) > 0, F.concat("file_path", F.lit(":"), F.col("line_no").cast("string"))).otherwise(nz("file_path"))
+    line = F.concat(F.lit("| "), "kind", F.lit(" | `"), "source_id", F.lit("` | `"), target, F.lit("` | `"), place, F.lit("` | "), nz("provenance"), F.lit(" |"))
+    rows = relations_.select(F.lit(1).alias("part"), F.concat_ws("\u0000", "kind", "source_id").alias("k1"), F.concat_ws("\u0000", "target_id", "target_ref", "file_path", F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("k2"), line.alias("line"))
+    return _heads(relations_.sparkSession, [(0, "| Kind | Source | Target | Location | Provenance |\n| --- | --- | --- | --- | --- |")]).unionByName(rows)
+
+
+def structure_report(files: DataFrame, path: str = "path") -> DataFrame:
+    """Folders with their number of files, indented by depth."""
+    d = directory_counts(files, path)
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- `"), "directory", F.lit("/` ("), F.col("n").cast("string"), F.lit(" files)"))
+    return _heads(files.sparkSession, [(0, "## Directory Structure\n")]).unionByName(d.select(F.lit(1).alias("part"), F.col("directory").alias("k1"), F.lit("").alias("k2"), line.alias("line")))
+
+
+def contributors_report(author_files: DataFrame) -> DataFrame:
+    """All authors by files, ties by name, with their share."""
+    t = author_files.agg(F.count("*").alias("people"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    w = rank.numbered(author_files.orderBy(F.desc("n"), F.asc("author")), "rank").crossJoin(F.broadcast(t))  # one row
+    line = F.concat(F.col("rank").cast("string"), F.lit(". **"), "author", F.lit("** - "), F.col("n").cast("string"), F.lit(" files ("), F.format_number(F.round(F.col("n") * 100.0 / F.col("total"), 1), 1), F.lit("%)"))
+    head = t.select(F.lit(0).alias("part"), F.lit("").alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("## Contributors\n\n**Total Contributors:** "), F.col("people").cast("string"), F.lit("\n\n**Total File Ownership:** "), F.col("total").cast("string"), F.lit(" entries\n\n### Top Contributors\n")).alias("line"))
+    return head.unionByName(w.select(F.lit(1).alias("part"), F.lpad(F.col("rank").cast("string"), 12, "0").alias("k1"), F.lit("").alias("k2"), line.alias("line")))
+
+
+def overview_report(files: DataFrame, author_files: DataFrame, project: str, branch: str = "", commit: str = "") -> DataFrame:
+    """Name, branch, commit, types of files and the ten authors with the most files."""
+    types = files.select(file_type(F.col("path")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    total = files.agg(F.count("*").alias("n")).select(F.lit(1).alias("part"), F.lit("").alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("**Total Files:** "), F.col("n").cast("string"), F.lit("\n")).alias("line"))
+    head = [(0, f"## Project: `{project}`\n\n**Branch:** `{branch}`\n" + (f"\n**Current Commit:** `{commit[:12]}`\n" if commit else "")), (2, "### File Types\n"), (4, "\n### Top Contributors\n")]
+    kinds = types.select(F.lit(3).alias("part"), F.col("type").alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("- **"), "type", F.lit(":** "), F.col("n").cast("string"), F.lit(" files")).alias("line"))
+    best = top_authors(author_files).select(F.lit(5).alias("part"), F.lpad(F.col("rank").cast("string"), 3, "0").alias("k1"), F.lit("").alias("k2"), F.concat(F.lit("- "), "author", F.lit(" ("), F.col("n").cast("string"), F.lit(" files)")).alias("line"))
+    return reduce(DataFrame.unionByName, [_heads(files.sparkSession, head), total, kinds, best])
+
+
+def as_concept(lines: DataFrame, type_: str, title: str, path: str, description: str = "", tags: tuple[str, ...] = ()) -> DataFrame:
+    """A bounded report as one concept."""
+    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "k1", "k2", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return body.select(F.lit(type_).alias("type"), F.lit(title).alias("title"), F.lit(description).alias("description"), F.lit("").alias("resource"), F.array(*(F.lit(t) for t in tags)).cast("array<string>").alias("tags"), F.lit("").alias("timestamp"), F.concat("content", F.lit("\n")).alias("content"), F.lit(path).alias("file_path"), F.create_map().cast("map<string,string>").alias("custom"))

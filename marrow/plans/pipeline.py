@@ -139,6 +139,28 @@ def include_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.include_files(files(spark, sf_dir), ["*.go", "*.[jt]s", "se?l.py"], ["harbor", "alder"], 4).select("source_id", "path")
 
 
+def relation_index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codegraph.relation_index_report(codegraph.relations(entity_summaries(spark, sf_dir))).where("part = 1").select("line")
+
+
+def structure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codegraph.structure_report(files(spark, sf_dir)).where("part = 1").select("line")
+
+
+def contributors_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codegraph.contributors_report(_authors(spark, sf_dir)).where("part = 1").select("line")
+
+
+def report_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounded reports as concepts."""
+    f, a, s = files(spark, sf_dir), _authors(spark, sf_dir), entity_summaries(spark, sf_dir)
+    made = [
+        codegraph.as_concept(codegraph.overview_report(f, a, "demo", "main", "0123456789abcdef"), "project", "Project Overview", "project/project_overview.md", tags=("project",)),
+        codegraph.as_concept(codegraph.repository_report(s, codegraph.entities(s).count(), codegraph.relations(s).count(), "demo"), "code_repository", "Code Repository", "project/code_repository.md", tags=("code", "repository", "generated")),
+    ]
+    return made[0].unionByName(made[1]).select("type", "title", "file_path", F.length("content").alias("n_content"))
+
+
 GLOBS = ("**/*.go", "harbor/**", "*/*/*.py", "**/sea*/**/*.ts", "**.rs", "[a-f]*/**", "**")
 
 
@@ -207,7 +229,7 @@ def upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     file_types, imports_extract, functions_extract, file_summaries, line_counts, go_symbols, file_concepts, summaries_read_back, relationship_graph, relationship_lines, code_entities, code_relations,
-    language_counts, symbol_counts, map_graph_nodes, map_graph_edges, map_graph_files, git_metadata, authors_top10, dir_tree, include_files, glob_match, path_clean, detect_changes, detect_counts,
+    language_counts, symbol_counts, map_graph_nodes, map_graph_edges, map_graph_files, git_metadata, authors_top10, dir_tree, relation_index_report, structure_report, contributors_report, report_concepts, include_files, glob_match, path_clean, detect_changes, detect_counts,
     index_after_import, merge_strategies, upsert_incremental,
 )}
 
@@ -274,6 +296,12 @@ SQL = {
   UNION SELECT rid, pid, '', 'contains', '', 0 FROM fid WHERE pkg <> '' UNION SELECT pid, id, '', 'contains', path, 0 FROM fid WHERE pkg <> ''
   UNION SELECT fid.id, iid.id, target, 'imports', path, 0 FROM fid JOIN iid USING (repo, path)
   UNION SELECT fid.id, sid.id, '', 'contains', path, a FROM fid JOIN sid USING (repo, path) UNION SELECT pid, sid.id, '', 'contains', path, a FROM fid JOIN sid USING (repo, path) WHERE pkg <> ''""",
+    "relation_index_report": _IDS + """, r AS (
+  SELECT rid AS source_id, id AS target_id, '' AS target_ref, 'contains' AS kind, path AS file_path, 0 AS line_no, prov FROM fid
+  UNION SELECT rid, pid, '', 'contains', '', 0, arg_min(prov, path) FROM fid WHERE pkg <> '' GROUP BY rid, pid UNION SELECT pid, id, '', 'contains', path, 0, prov FROM fid WHERE pkg <> ''
+  UNION SELECT fid.id, iid.id, target, 'imports', path, 0, prov FROM fid JOIN iid USING (repo, path)
+  UNION SELECT fid.id, sid.id, '', 'contains', path, a, prov FROM fid JOIN sid USING (repo, path) UNION SELECT pid, sid.id, '', 'contains', path, a, prov FROM fid JOIN sid USING (repo, path) WHERE pkg <> '')
+SELECT '| ' || kind || ' | `' || source_id || '` | `' || target_id || '` | `' || file_path || CASE WHEN line_no > 0 THEN ':' || line_no ELSE '' END || '` | ' || prov || ' |' AS line FROM r""",
     "language_counts": _SUMMARY + "SELECT type, count(*) AS n FROM f GROUP BY type",
     "symbol_counts": _SUMMARY + "SELECT kind, count(*) AS n FROM s GROUP BY kind",
     "map_graph_nodes": _NODES + "SELECT id AS entity_id, external_id, kind, sk AS symbol_kind, 'external-graph' AS provenance FROM mapped",
@@ -288,6 +316,8 @@ FROM e LEFT JOIN byid a ON a.external_id = src LEFT JOIN byid b ON b.external_id
     "git_metadata": "SELECT user_id::VARCHAR AS path, arg_max(event_id, (ts, event_id)) AS last_commit, arg_max(event_type, (ts, event_id)) AS last_author, count(*) AS commit_count FROM events GROUP BY user_id",
     "authors_top10": "SELECT row_number() OVER (ORDER BY n DESC, author) AS rank, author, n, round(n * 100.0 / (SELECT count(*) FROM events), 1) AS percent FROM (SELECT 'u' || user_id AS author, count(*) AS n FROM events GROUP BY user_id) ORDER BY n DESC, author LIMIT 10",
     "dir_tree": _FILES + ", d AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory FROM f) SELECT directory, count(*) AS n, CASE WHEN directory = '.' THEN 0 ELSE len(directory) - len(replace(directory, '/', '')) END AS depth FROM d GROUP BY directory",
+    "structure_report": _FILES + ", d AS (SELECT CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory FROM f) SELECT repeat('  ', CASE WHEN directory = '.' THEN 0 ELSE len(directory) - len(replace(directory, '/', '')) END) || '- `' || directory || '/` (' || count(*) || ' files)' AS line FROM d GROUP BY directory",
+    "contributors_report": "SELECT row_number() OVER (ORDER BY n DESC, author) || '. **' || author || '** - ' || n || ' files (' || printf('%.1f', round(n * 100.0 / (SELECT count(*) FROM events), 1)) || '%)' AS line FROM (SELECT 'u' || user_id AS author, count(*) AS n FROM events GROUP BY user_id)",
     "include_files": _FILES + r" SELECT source_id, path FROM f WHERE NOT starts_with(path, 'harbor/') AND NOT starts_with(path, 'alder/') AND (size IS NULL OR size <= 4096) AND regexp_full_match(regexp_extract(path, '[^/]*$'), '[^/]*\.go|[^/]*\.[jt]s|se[^/]l\.py')",
     "glob_match": _FILES + " UNION ALL ".join(f" SELECT source_id, {i} AS pattern_no FROM f WHERE regexp_full_match(path || '/', '{p}')" for i, p in enumerate((r"([^/]*/)*[^/]*\.go/", "harbor/([^/]*/)*", r"[^/]*/[^/]*/[^/]*\.py/", r"([^/]*/)*sea[^/]*/([^/]*/)*[^/]*\.ts/", r"[^/]*\.rs/", "[a-f][^/]*/([^/]*/)*", "([^/]*/)*"))),
     "path_clean": _FILES + " SELECT source_id, path FROM f",
