@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session, or, where that is unset (as in tests), one of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "marrow-shared")
-    return where
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "marrow-shared")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """``DataFrame.checkpoint`` writes to the session's shared folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/marrow/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application has written there; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     only if that is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/marrow/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

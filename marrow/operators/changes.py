@@ -243,7 +243,7 @@ def upsert(existing: DataFrame, incremental: DataFrame) -> DataFrame:
     cols = existing.columns
     old = existing.where(plain).select("*", F.lit(0).alias("_round"))
     new = incremental.where(plain).select(*cols, F.lit(1).alias("_round"))
-    dead = F.col("type") == "deleted"
+    dead = nz("type") == "deleted"
     names = F.when(dead, F.array(F.concat(F.lit("r:"), nz("resource")), F.concat(F.lit("r:" + FILE_RESOURCE), nz("resource")))).otherwise(F.array(upsert_key()))
     keyed = old.unionByName(new).withColumn("_key", F.explode(names))
     # the contents of what is replaced are not sorted: the last of each key is found by a maximum

@@ -212,7 +212,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("---\nowner: '"), "repository_id", F.lit("'\ntags:\n  - a"), o, F.lit("\n  - shared\ntitle: \"S"), o, F.lit("\"\n---\n\nsource body"))
     target = F.concat(F.lit("---\ntitle: T"), o, F.lit("\ndescription: D: x\ntags:\n- shared\n- b\n---\nbody "), o)
     strategy = F.when(F.col("type") == "code_file", "merge").when(F.col("type") == "code_symbol", "patch").when(F.col("type") == "api", "overwrite").otherwise("")
-    return c.select("ord", source.alias("source"), F.when(F.col("type") != "guide", target).alias("target"), strategy.alias("strategy"), F.array().cast("array<string>").alias("patch_fields"))
+    return c.select("ord", source.alias("source"), F.when(nz("type") != "guide", target).alias("target"), strategy.alias("strategy"), F.array().cast("array<string>").alias("patch_fields"))
 
 
 def merge_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:

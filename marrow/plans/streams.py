@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.functions.session import shared_dir
+from marrow.functions.session import own_dir
 from marrow.plans.tables import table
 from marrow.sources.state import watch_config
 from marrow.streaming import watch
@@ -38,7 +38,7 @@ def watch_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same debounce as a stream over the events, run until all is read; bursts open at the end stay open."""
-    where = f"{shared_dir(spark).rstrip('/')}/marrow/stream-{uuid.uuid4().hex}"
+    where = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
     # a stream reads a folder: the table is a file or a folder of parts
     events = table(spark, sf_dir, "events")
     events.write.parquet(f"{where}/events")

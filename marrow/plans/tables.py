@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts as they are delivered; those delivered again are alike, so queries drop them once they are narrow (``once``)."""
+    """Concepts as they are delivered; those delivered again are alike, so queries drop them once they are narrow (``once``).
+
+    The type stays as it is stored, so that a filter on it reaches the scan.
+    """
     c = table(spark, sf_dir, "concepts")
     return c.select(
-        "ord", nz("concept_type").alias("type"), *(nz(x).alias(x) for x in ("title", "description", "resource")),
+        "ord", F.col("concept_type").alias("type"), *(nz(x).alias(x) for x in ("title", "description", "resource")),
         F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit(""))).alias("tags"),
         nz("concept_ts").alias("timestamp"), nz("content").alias("content"), nz("file_path").alias("file_path"), "custom", nz("repository_id").alias("repository_id"),
     )
