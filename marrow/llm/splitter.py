@@ -31,7 +31,7 @@ _LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?;][\"')\]]*[ \t]+|[。！？；][”’」』）]*")
 _WORD = re.compile(r"\s+")
 _OUTER = re.compile(r"\n[ \t\r]*\n(?=[^\s})\]])")
-_PROSE_KINDS, _CODE_KINDS, _LINE_KINDS = ("heading", "paragraph", "line", "sentence", "word"), ("declaration", "blank_line", "line", "word"), ("line", "word")
+_PROSE_KINDS, _CODE_KINDS, _LINE_KINDS = ("heading", "paragraph", "line", "sentence", "word"), ("declaration", "blank_line", "line", "sentence", "word"), ("line", "sentence", "word")
 
 
 def kind_of(file_path: str | None) -> str:
@@ -54,9 +54,9 @@ def _outside_fences(text: str, at: np.ndarray) -> np.ndarray:
 def boundaries(text: str, kind: str) -> list[tuple[str, np.ndarray]]:
     """Sorted offsets at which a text of that kind may be cut, the strongest kind of boundary first."""
     if kind == "code":
-        return list(zip(_CODE_KINDS, (_ends(_OUTER, text), _ends(_PARAGRAPH, text), _ends(_LINE, text), _ends(_WORD, text)), strict=True))
+        return list(zip(_CODE_KINDS, (_ends(_OUTER, text), _ends(_PARAGRAPH, text), _ends(_LINE, text), _ends(_SENTENCE, text), _ends(_WORD, text)), strict=True))
     if kind == "lines":
-        return list(zip(_LINE_KINDS, (_ends(_LINE, text), _ends(_WORD, text)), strict=True))
+        return list(zip(_LINE_KINDS, (_ends(_LINE, text), _ends(_SENTENCE, text), _ends(_WORD, text)), strict=True))
     return list(zip(_PROSE_KINDS, (_outside_fences(text, _ends(_HEADING, text)), _outside_fences(text, _ends(_PARAGRAPH, text)), _ends(_LINE, text), _ends(_SENTENCE, text), _ends(_WORD, text)), strict=True))
 
 
