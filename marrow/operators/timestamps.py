@@ -79,7 +79,7 @@ def shape_of(mask: str) -> Shape | None:
 def trimmed(text: str) -> str:
     """The text without whitespace and quotes around it."""
     while True:
-        t = text.strip().strip("\"'`“”‘’«»").strip("﻿​")
+        t = text.strip().strip("\"'`“”‘’«»").strip("\ufeff\u200b")
         if t == text:
             return re.sub(r"[^\S ]", " ", t)
         text = t
