@@ -63,7 +63,7 @@ def boundaries(text: str, kind: str) -> list[tuple[str, np.ndarray]]:
 def _hard(text: str, low: int, end: int) -> int:
     """A cut at ``end`` or a few characters before it that splits no CRLF and no combined character."""
     at = end
-    while at > low and at < len(text) and ((text[at] == "\n" and text[at - 1] == "\r") or unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍"):
+    while at > low and at < len(text) and ((text[at] == "\n" and text[at - 1] == "\r") or unicodedata.combining(text[at]) or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"):
         at -= 1
     return at if at > low else end
 
