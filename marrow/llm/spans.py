@@ -50,6 +50,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SMALL = 1 << 16  # characters of the basic plane are looked up
+_spread: list[np.ndarray] = []
+
+
+def _spread_chars(chars: np.ndarray) -> np.ndarray:
+    """``_mix`` of code points."""
+    if len(chars) and int(chars.max()) >= _SMALL:
+        return _mix(chars.astype(np.uint64))
+    if not _spread:
+        _spread.append(_mix(np.arange(_SMALL, dtype=np.uint64)))
+    return _spread[0][chars]
+
+
 class Rolling:
     """Hashes of all windows of a text by prefix sums of a polynomial modulo 2**64."""
 
@@ -65,7 +78,7 @@ class Rolling:
             have = self._powers[which] = np.cumprod(p, dtype=np.uint64), np.cumprod(inv, dtype=np.uint64)
         self.inverse = have[1]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(chars.astype(np.uint64)) * have[0][:n], out=self.sums[1:])
+        np.cumsum(_spread_chars(chars) * have[0][:n], out=self.sums[1:])
 
     def at(self, start: np.ndarray, length: int) -> np.ndarray:
         return _mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
@@ -161,9 +174,9 @@ def shared_spans(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id
         return h.view(np.int64), at.astype(np.int32)
 
     # 1: anchors that more than one record has
-    found = _of_texts(single, "doc long, h long, at int", seeds)
+    found = written(_of_texts(single, "doc long, h long, at int", seeds), "anchors")
     common = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h")
-    hits = written(found.join(written(common, "anchors"), "h", "left_semi"), "hits")
+    hits = written(found.join(written(common, "common"), "h", "left_semi"), "hits")
 
     def per_text(rows: DataFrame) -> DataFrame:
         # no document has more offsets than characters
