@@ -24,6 +24,15 @@ MOST_CANDIDATES = 50
 MOST_NEIGHBOURS = 3
 SOURCE_BYTES = 256 * 1024
 SURROUNDING = 1
+# Fixed texts of the steps of a trace, by type.
+MESSAGES = {
+    "relation_expansion": "expanded one-hop relation neighbors",
+    "range_merge": "merged overlapping or adjacent same-file ranges",
+    "omission": "omitted context candidate",
+    "snippet_extraction": "extracted source snippet",
+    "budget_packing": "packed context items under token budget",
+}
+NO_EXPANSION = "relation expansion disabled"
 
 
 # --- on columns -------------------------------------------------------------------------------------------------
@@ -98,7 +107,7 @@ class Pack:
 
     def omit(self, reason: str, title: str, path: str, count: int = 1) -> None:
         self.omissions.append({"reason": reason, "title": title, "source_path": path, "count": count})
-        self.trace.append({"type": "omission", "message": "omitted context candidate", "refs": [path] if path else [], "counts": {"count": count}, "omission_reason": reason})
+        self.trace.append({"type": "omission", "message": MESSAGES["omission"], "refs": [path] if path else [], "counts": {"count": count}, "omission_reason": reason})
         self.omitted += count
 
 
@@ -122,7 +131,7 @@ def expand(primaries: list[Candidate], neighbours: dict[int, list[Candidate]], t
                 fresh.append(n)
         out += fresh
         if trace is not None:
-            trace.append({"type": "relation_expansion", "message": "expanded one-hop relation neighbors", "refs": [p.path], "counts": {"neighbors": len(fresh)}})
+            trace.append({"type": "relation_expansion", "message": MESSAGES["relation_expansion"], "refs": [p.path], "counts": {"neighbors": len(fresh)}})
     return out
 
 
@@ -144,7 +153,7 @@ def merge_ranges(candidates: list[Candidate], trace: list[dict] | None = None) -
         into.reason_text = ""
         refs.append(location(into.path, into.start, into.end))
     if trace is not None:
-        trace.append({"type": "range_merge", "message": "merged overlapping or adjacent same-file ranges", "refs": list(dict.fromkeys(refs)), "counts": {"merges": len(refs)}})
+        trace.append({"type": "range_merge", "message": MESSAGES["range_merge"], "refs": list(dict.fromkeys(refs)), "counts": {"merges": len(refs)}})
     return out
 
 
@@ -256,9 +265,9 @@ def pack(candidates: list[Candidate], sources: dict[str, str], query: str, budge
             out.omit("snippet_truncated", hit["title"], c.path, left_out)
             out.omitted_lines += left_out
         refs = [x for x in dict.fromkeys((location(c.path, a, b), hit.get("concept_path", ""))) if x]
-        out.trace.append({"type": "snippet_extraction", "message": "extracted source snippet", "refs": refs, "counts": {"tokens": tokens}})
+        out.trace.append({"type": "snippet_extraction", "message": MESSAGES["snippet_extraction"], "refs": refs, "counts": {"tokens": tokens}})
         out.items.append(item | {"location": location(c.path, a, b), "start_line": a, "end_line": b, "snippet": text, "token_estimate": tokens, "provenance": "repo.source"})
-    out.trace.append({"type": "budget_packing", "message": "packed context items under token budget", "counts": {"items": len(out.items), "used_tokens": out.used, "budget_tokens": budget, "omitted": out.omitted}})
+    out.trace.append({"type": "budget_packing", "message": MESSAGES["budget_packing"], "counts": {"items": len(out.items), "used_tokens": out.used, "budget_tokens": budget, "omitted": out.omitted}})
     return out
 
 

@@ -187,22 +187,37 @@ def best_of_each(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def trace(concepts: DataFrame, query: str, limit: int, filters: dict[str, str], paths: list[str], duplicates: int = 0, where: Column | None = None) -> list[dict]:
-    """The six steps of a ranked query, with counts from one pass."""
+# Fixed texts of the steps of a trace, by type.
+MESSAGES = {
+    "path_resolution": "resolved knowledge paths",
+    "bundle_load": "loaded knowledge bundle",
+    "overlay_merge": "collapsed duplicate generated concepts across overlay paths",
+    "filter_application": "applied structured query filters",
+    "candidate_scoring": "scored matching candidates",
+    "ranking": "ordered candidates by deterministic tie-breaks",
+    "primary_hits": "selected primary query hits",
+}
+NO_MERGES = "no overlay merges applied"
+
+
+def step(kind: str, refs: Sequence[str] = (), **counts: int) -> dict:
+    message = NO_MERGES if kind == "overlay_merge" and not counts.get("collapsed_duplicates") else MESSAGES[kind]
+    return {"type": kind, "message": message, "counts": counts} | ({"refs": list(refs)} if refs else {})
+
+
+def trace(concepts: DataFrame, query: str, limit: int, filters: dict[str, str], paths: list[str], where: Column | None = None, returned: Sequence[str] = ()) -> list[dict]:
+    """The six steps of a ranked query, with counts from one pass; ``returned`` are the places of its result rows."""
     kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    q = F.lit(fold(query.strip(SPACE)))
-    any_signal = F.lit(False)
-    for c, _ in signals(q):
-        any_signal = any_signal | c
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
-    r = concepts.agg(F.count("*").alias("loaded"), count(kept).alias("kept"), count(kept & any_signal).alias("scored")).first()
-    returned = min(limit, r["scored"]) if limit else r["scored"]
-    steps = [
-        ("path_resolution", "resolved knowledge read paths", {"paths": len(paths)}, paths),
-        ("bundle_load", "loaded knowledge bundles", {"concepts": r["loaded"]}, []),
-        ("overlay_merge", "merged duplicate overlay concepts", {"duplicates": duplicates}, []),
-        ("filter_application", "applied exact query filters", {"filters": sum(bool(v) for v in filters.values()), "candidates": r["kept"]}, []),
-        ("candidate_scoring", "scored candidate concepts", {"scored": r["scored"]}, []),
-        ("ranking", "ranked and limited results", {"returned": returned}, []),
+    score, _, _ = _totals(signals(F.lit(fold(query.strip(SPACE)))))
+    points = F.when(kept, score).otherwise(0)
+    duplicates = F.coalesce(F.size("duplicate_sources"), F.lit(0)) if "duplicate_sources" in concepts.columns else F.lit(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    r = concepts.agg(F.count("*").alias("loaded"), total(F.when(points > 0, 1).otherwise(0)).alias("matches"), F.coalesce(F.max(points), F.lit(0)).alias("top"), total(duplicates).alias("duplicates")).first()
+    return [
+        step("path_resolution", paths, read_paths=len(paths)),
+        step("bundle_load", concepts=r["loaded"]),
+        step("overlay_merge", collapsed_duplicates=r["duplicates"]),
+        step("filter_application", active_filters=sum(bool(v) for v in filters.values())),
+        step("candidate_scoring", matches=r["matches"]) | {"score_delta": r["top"]},
+        step("ranking", returned, returned=min(limit, r["matches"]) if limit else r["matches"]),
     ]
-    return [{"type": t, "message": m, "counts": c} | ({"refs": refs} if refs else {}) for t, m, c, refs in steps]

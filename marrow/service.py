@@ -94,7 +94,7 @@ class Service:
             rows = [r.asDict() for r in hits.drop("ord", "exactness", "type_rank").orderBy("rank").toLocalIterator()]
             result: dict[str, Any] = {"query": text, "hits": rows, "count": len(rows)}
             if explain:
-                result["trace"] = rank.trace(concepts, text, limit, filters, [p.path for p in self.paths()], where=where)
+                result["trace"] = rank.trace(concepts, text, limit, filters, [p.path for p in self.paths()], where, [r["location"] or r["concept_path"] for r in rows])
             return result, warnings
 
         return self.envelope("query", run)
@@ -108,11 +108,15 @@ class Service:
             rows = [r.asDict() for r in best.orderBy("rank").collect()]  # at most MOST_CANDIDATES
             near = [r.asDict() for r in context.neighbours(best, concepts).orderBy("rank", "slot").collect()] if relations else []
             make = lambda r, rel: context.Candidate(r["source_path"], r["start_line"], r["end_line"], [r], r["reason"] if rel else "", rel)
-            trace: list[dict] = []
+            paths = [p.path for p in self.paths()]
+            collapsed = concepts.agg(F.coalesce(F.sum(F.size("duplicate_sources")), F.lit(0))).first()[0]
+            trace = [rank.step("path_resolution", paths, read_paths=len(paths)), rank.step("primary_hits", [r["location"] or r["concept_path"] for r in rows], hits=len(rows)), rank.step("overlay_merge", collapsed_duplicates=collapsed)]
             by_rank: dict[int, list] = {}
             for r in near:
                 by_rank.setdefault(r["rank"] - 1, []).append(make(r, True))
-            candidates = context.expand([make(r, False) for r in rows], by_rank, trace)
+            candidates = context.expand([make(r, False) for r in rows], by_rank, trace if relations else None)
+            if not relations:
+                trace.append({"type": "relation_expansion", "message": context.NO_EXPANSION, "counts": {"neighbors": 0}})
             packed = context.pack(candidates, self._sources({c.path for c in candidates}), text, budget)
             return {"query": text, "budget_tokens": budget if budget > 0 else context.DEFAULT_BUDGET, "used_tokens": packed.used, "omitted": packed.omitted, "omitted_lines": packed.omitted_lines, "items": packed.items, "omissions": packed.omissions, "trace": trace + packed.trace}, warnings + packed.warnings
 

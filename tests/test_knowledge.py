@@ -65,7 +65,7 @@ def test_ranking_order_and_reasons(make_concepts):
     assert [(r["query_id"], r["ord"]) for r in many] == [(7, 3)]
     steps = rank.trace(c, "sharedsymbol", 2, {"type": ""}, ["p"])
     assert [s["type"] for s in steps] == ["path_resolution", "bundle_load", "overlay_merge", "filter_application", "candidate_scoring", "ranking"]
-    assert steps[4]["counts"] == {"scored": 4} and steps[5]["counts"] == {"returned": 2}
+    assert steps[4]["counts"] == {"matches": 4} and steps[4]["score_delta"] == 200 and steps[5]["counts"] == {"returned": 2}
     assert rank.ranked(c.limit(0), "x", 5).count() == 0
 
 
