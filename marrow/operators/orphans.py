@@ -3,11 +3,13 @@
 A reference is orphaned directly if no life of its target covers the moment it was seen. Then a fixpoint runs down the
 graph of references: a record that holds an orphaned reference is itself faulty, so references to it are orphaned
 indirectly, one level further each round, by semi-joins of the references not yet reached with the last round's
-records. Rounds are written to the shared folder, so lineage stays short.
+records, which are known by their ids and by their external ids. Rounds are written to the shared folder, so lineage
+stays short.
 
 Defined cases: blank keys (NULL, empty, whitespace) are no reference; keys are compared without surrounding
 whitespace and otherwise exactly; references delivered again count once; duplicate lives of a target have no effect;
 a NULL begin is since always and a NULL end is never; a NULL moment is covered only by a target that is live at all times;
+a record's external ids are those of all its lives, and one that several records share is faulty if one of them is;
 cycles end the fixpoint like any record already reached; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -45,6 +47,12 @@ def lives(entities: DataFrame, library: DataFrame) -> DataFrame:
     return rows.select(keys.alias("key"), "begins", "ends").distinct()
 
 
+def aliases(entities: DataFrame, library: DataFrame) -> DataFrame:
+    """(key, alias): the key of every target's id with the key of each of its external ids."""
+    rows = entities.select("entity_id", "external_id").unionByName(library.select("entity_id", "external_id"))
+    return rows.select(_key("id", F.col("entity_id")).alias("key"), _key("ext", F.col("external_id")).alias("alias")).where("key is not null and alias is not null").distinct()
+
+
 def _covers() -> Column:
     begins, ends, seen = F.col("f.begins"), F.col("f.ends"), F.col("m.seen_at")
     return (begins.isNull() | (begins <= seen)) & (ends.isNull() | (seen < ends))
@@ -64,22 +72,30 @@ def reasons(orphans: DataFrame, entities: DataFrame, library: DataFrame) -> Data
     return joined.withColumn("reason", reason).drop("first", "last")
 
 
-def cascade(refs: DataFrame, direct: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def cascade(refs: DataFrame, direct: DataFrame, most_rounds: int | None = None, names: DataFrame | None = None) -> DataFrame:
     """(relation_id, level): 0 for direct orphans, k for references to a record that is faulty by k steps.
 
-    ``refs`` and ``direct`` have relation_id, source and key; rounds go on until nothing new is found.
+    ``refs`` and ``direct`` have relation_id, source and key; rounds go on until nothing new is found. ``names`` are the
+    records' ``aliases``; without them no reference by an external id inherits a fault.
     """
+    names = None if names is None else written(names, "aliases")
+
+    def records(level: DataFrame) -> DataFrame:
+        """All keys of the records that hold the references of a level."""
+        ids = level.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct()
+        return ids if names is None else ids.unionByName(names.join(ids, "key", "left_semi").select(F.col("alias").alias("key"))).distinct()
+
     found = written(direct.select("relation_id", "source", F.lit(0).alias("level")).distinct(), "level")
     rest = written(refs.select("relation_id", "source", "key").distinct().join(found.select("relation_id"), "relation_id", "left_anti"), "references")
     out = [found]
-    reached = written(found.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct(), "records")
+    reached = written(records(found), "records")
     frontier, before = reached, [reached]
     level = 0
     while not frontier.isEmpty() and (most_rounds is None or level < most_rounds):
         level += 1
-        # a reference has one target and a record is in one frontier only, so no reference is found twice
+        # a reference has one target and a key is in one frontier only, so no reference is found twice
         found = written(rest.join(frontier, "key", "left_semi").select("relation_id", "source", F.lit(level).alias("level")), "level")
-        fresh = found.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct()
+        fresh = records(found)
         for old in before:
             fresh = fresh.join(old, "key", "left_anti")
         frontier = written(fresh, "records")
@@ -100,7 +116,7 @@ def report(relations: DataFrame, entities: DataFrame, library: DataFrame, name:
     """References and orphans per table, column and month: direct ones by reason, and inherited ones."""
     refs = references(relations)
     orphans = written(reasons(direct_orphans(relations, entities, library), entities, library), "orphans")
-    levels = cascade(refs, orphans)
+    levels = cascade(refs, orphans, names=aliases(entities, library))
     every = refs.dropDuplicates(["relation_id", "key", "seen_at"]).join(levels, "relation_id", "left").join(orphans.select("relation_id", "reason").distinct(), "relation_id", "left")
     column = F.when(F.col("key").startswith("id:"), "target_id").otherwise("target_ref")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")

@@ -38,7 +38,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every orphaned relation with its level: 0 direct, above 0 inherited."""
     relations, entities, library = _tables(spark, sf_dir)
-    return orphans.cascade(orphans.references(relations), orphans.direct_orphans(relations, entities, library))
+    return orphans.cascade(orphans.references(relations), orphans.direct_orphans(relations, entities, library), names=orphans.aliases(entities, library))
 
 
 QUERIES = {"p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade}

@@ -103,6 +103,26 @@ def test_orphans(graph):
     assert orphans.cascade(orphans.references(relations.limit(0)), found.limit(0)).count() == 0
 
 
+def test_faults_are_inherited_by_external_ids(spark):
+    entities = spark.createDataFrame([("a", " xa ", D(1), None, ""), ("b", None, D(1), D(2), ""), ("b", "xb", D(3), None, ""), ("b2", "xb", D(1), None, ""), ("c", "", D(1), None, ""), ("d", "xd", D(1), None, "")], ENTITY)
+    library = spark.createDataFrame([("lib", "pkg")], "entity_id string, external_id string")
+    relations = spark.createDataFrame(
+        [
+            (1, "a", "lost", None, D(9), ""), (2, " b", "", "xa", D(9), ""), (3, "c", None, "xb\t", D(9), ""), (4, "e", "c", "pkg", D(9), ""), (5, "d", "", "pkg", D(9), ""), (6, "e", "", "xd", D(9), ""),
+            (7, "f", "a", "xd", D(9), ""), (8, "a", None, "xb", D(9), ""), (9, "lib", "e", None, D(9), ""), (10, "g", "b2", None, D(9), ""),
+        ],
+        RELATION,
+    )
+    found = orphans.direct_orphans(relations, entities, library)
+    levels = {r["relation_id"]: r["level"] for r in orphans.cascade(orphans.references(relations), found, names=orphans.aliases(entities, library)).collect()}
+    # 9 is an orphan itself, as e is nowhere, so lib is faulty at once, and what names it by pkg (5) and then d by xd (6) follow
+    assert levels == {1: 0, 9: 0, 2: 1, 7: 1, 3: 2, 8: 2, 4: 3, 5: 1, 6: 2}
+    rows = orphans.report(relations, entities, library).collect()
+    assert {c: sum(r["n_inherited"] for r in rows if r["column_name"] == c) for c in ("target_id", "target_ref")} == {"target_id": 2, "target_ref": 5}
+    assert sum(r["n_direct"] for r in rows) == 2
+    assert orphans.cascade(orphans.references(relations), found, names=orphans.aliases(entities.limit(0), library.limit(0))).count() == 3  # by ids only
+
+
 def test_salted_join_is_a_join(spark):
     many = spark.range(3000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"), "id")
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "key string, v int")
