@@ -86,6 +86,7 @@ def gram(baskets: DataFrame) -> DataFrame:
             item = local[coded.indices.to_numpy(zero_copy_only=False)]
             lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             record = np.repeat(np.arange(len(lists)), lengths)
+            passed_on = False
             for k, n in _gram_of_block(record, item, 1 << 31):
                 keys.append(k)
                 counts.append(n)
@@ -96,10 +97,11 @@ def gram(baskets: DataFrame) -> DataFrame:
                     keys, counts, size = [k], [n], len(k)
                     if size > KEPT // 2:
                         yield flush()
-                        keys, counts, size, names, number = [], [], 0, [], {}
-                        local = None
-            if not number and size == 0:
-                continue
+                        keys, counts, size, passed_on = [], [], 0, True
+            if passed_on:  # only now: the numbering holds for all slices of a batch
+                if size:
+                    yield flush()
+                keys, counts, size, names, number = [], [], 0, [], {}
         if size:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([records], pa.int64())], names=["item_a", "item_b", "n"])

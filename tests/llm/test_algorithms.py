@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 from itertools import combinations
+from unittest.mock import Mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +48,27 @@ def test_gram_in_slices(spark, monkeypatch):
     assert cooccur.gram(big).where("n = 3").count() == 600 * 601 // 2 + 1
 
 
+def test_gram_passed_on_within_a_batch(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [[f"v{k:03d}" for k in rnd.sample(range(200), 40)] for _ in range(60)]
+    both, one = brute_pairs(rows)
+    want = {(None, None): 60} | dict(both) | {(x, x): n for x, n in one.items()}
+    runs = []
+    baskets = Mock()
+    baskets.mapInArrow.side_effect = lambda run, schema: runs.append(run) or Mock()
+    cooccur.gram(baskets)
+    monkeypatch.setattr(cooccur, "SLICE", 500)
+    monkeypatch.setattr(cooccur, "KEPT", 2000)
+    for size in (7, 60):  # several batches of several slices, and one
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + size])], names=["items"]) for k in range(0, 60, size)]
+        got, n_batches = Counter(), 0
+        for out in runs[0](iter(batches)):
+            n_batches += 1
+            for r in out.to_pylist():
+                got[(r["item_a"], r["item_b"])] += r["n"]
+        assert n_batches > 3 and got == want
+
+
 # --- splitting -------------------------------------------------------------------------------------------------
 
 
