@@ -35,6 +35,9 @@ from marrow.functions.session import written
 #: Ranks within a size are counted in so many parts, so that no size is one task's burden.
 PARTS = 1024
 
+#: First sizes of a triple that are tried before the index of pair sums is made anew.
+TRIES = 64
+
 
 @dataclass(frozen=True)
 class Filling:
@@ -73,18 +76,30 @@ class _Sums:
                 free[s] -= k
         if self.pair[gap] and (p := self._pair(free, gap)):
             return p
-        firsts = np.flatnonzero((free[1:gap] > 0) & self.pair[gap - 1 : 0 : -1]) + 1
-        for tried, a in enumerate(firsts[::-1].tolist()):
+        firsts = self._firsts(free, gap)
+        if len(firsts) > TRIES:  # many in vain: the sums are out of date, and the rest is tried by those there are now
+            if p := self._triple(free, gap, firsts[:TRIES]):
+                return p
+            self.refresh()
+            last = firsts[TRIES - 1]
+            firsts = [a for a in self._firsts(free, gap) if a < last]
+        p = self._triple(free, gap, firsts)
+        if self.stale > 2000:
+            self.refresh()
+        return p
+
+    def _firsts(self, free: np.ndarray, gap: int) -> list[int]:
+        """Sizes that a sum of two may complete to ``gap``, the largest first."""
+        return (np.flatnonzero((free[1:gap] > 0) & self.pair[gap - 1 : 0 : -1]) + 1)[::-1].tolist()
+
+    def _triple(self, free: np.ndarray, gap: int, firsts: list[int]) -> tuple[int, int, int] | None:
+        for a in firsts:
             free[a] -= 1
             p = self._pair(free, gap - a)
             free[a] += 1
             if p:
                 return (a, *p)
             self.stale += 1
-            if tried >= 64:
-                break
-        if self.stale > 2000:
-            self.refresh()
         return None
 
     @staticmethod

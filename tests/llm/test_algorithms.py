@@ -132,6 +132,26 @@ def test_plan_packs_everything(sizes):
     assert used == have
 
 
+def test_exact_complements_are_found_whenever_they_exist():
+    have = np.ones(1002, np.int64)
+    index = packing._Sums(have)
+    have[:] = 0
+    have[402:801:2] = have[101] = 1  # 151 first sizes are in vain
+    assert sum(index.exact(1001, Counter()) or ()) == 1001
+    rnd = random.Random(4)
+    for _ in range(200):
+        have = np.array([0] + [rnd.choice((1, 2, 3)) for _ in range(200)])
+        index = packing._Sums(have)
+        kept = set(rnd.sample(range(1, 201), rnd.randint(1, 12)))
+        have[[k for k in range(201) if k not in kept]] = 0
+        held = Counter({max(kept): 1})
+        gap = rnd.randint(1, 200)
+        left = [s for s in sorted(kept) for _ in range(int(have[s]) - held[s])]
+        got = index.exact(gap, held)
+        assert (got is not None) == any(sum(c) == gap for n in (1, 2, 3) for c in combinations(left, n))
+        assert got is None or sum(got) == gap and not Counter(got) - Counter(left)
+
+
 def test_plan_is_tight():
     rnd = random.Random(2)
     sizes = Counter(min(2048, int(rnd.lognormvariate(5.5, 1)) + 1) for _ in range(20_000))
