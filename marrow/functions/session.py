@@ -41,3 +41,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder to which parts are added one after another, each a partition by number."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str, by: str):
+        self.spark, self.by, self.schema = spark, by, schema
+        self.path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame, number: int) -> int:
+        """Write a part and tell how many rows it has."""
+        df.write.parquet(f"{self.path}/{self.by}={number}")
+        return self.part(number).count()
+
+    def part(self, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.by}={number}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, {self.by} int").parquet(self.path)
+
+
+#: Bytes of a partition of a bucketed table, as the optimizer estimates its input.
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_for(df: DataFrame) -> int:
+    """How many partitions a bucketed table of about the rows of ``df`` should have; results do not depend on it."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = -(-size // BUCKET_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))  # beyond: not known
+    return min(max(spark.sparkContext.defaultParallelism, wanted), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
+def bucketed(df: DataFrame, name: str, by: list[str], n: int) -> DataFrame:
+    """Like ``written``, but rows lie in ``n`` buckets by the hash of ``by``, so joins and groups on these columns need no shuffle.
+
+    The table leaves the catalog at once; its files stay, like those of ``written``.
+    """
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    table = f"marrow_{unique}"
+    df.write.format("parquet").bucketBy(n, *by).option("path", f"{own_dir(spark)}/{name}-{unique}").saveAsTable(table)
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -3,8 +3,8 @@
 A reference is orphaned directly if no life of its target covers the moment it was seen. Then a fixpoint runs down the
 graph of references: a record that holds an orphaned reference is itself faulty, so references to it are orphaned
 indirectly, one level further each round, by semi-joins of the references not yet reached with the last round's
-records, which are known by their ids and by their external ids. Rounds are written to the shared folder, so lineage
-stays short.
+records, which are known by their ids and by their external ids. References and rounds are written to the shared folder,
+so lineage stays short and references are shuffled once.
 
 Defined cases: blank keys (NULL, empty, whitespace) are no reference; keys are compared without surrounding
 whitespace and otherwise exactly; references delivered again count once; duplicate lives of a target have no effect;
@@ -18,13 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marrow.functions.session import written
-from marrow.functions.skew import salted_join
+from marrow.functions.session import Growing, bucketed, buckets_for, written
+from marrow.functions.skew import all_salts, hot_keys, salt_of, salted_join, salts
+
+
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
     """Without surrounding whitespace of any kind; NULL stays NULL."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def _key(space: str, c: Column) -> Column:
@@ -58,6 +61,77 @@ def _covers() -> Column:
     return (begins.isNull() | (begins <= seen)) & (ends.isNull() | (seen < ends))
 
 
+_PLACE = ["key", "salt"]  # what references are laid out by: rows of a hot key stand in several parts
+
+
+class Checked:
+    """The references, each with ``reason`` if it is orphaned directly, else NULL, laid out once for all that follows.
+
+    References are shuffled once, by key and salt; the lives of the targets meet them there, and the rounds of the
+    fixpoint and the final join read the written table without another shuffle of it.
+    """
+
+    def __init__(self, relations: DataFrame, entities: DataFrame, library: DataFrame):
+        spark = relations.sparkSession
+        refs = references(relations)
+        hot, n = hot_keys(refs, "key"), salts(spark)
+        self.all_salts = all_salts("key", hot, n)
+        self.buckets = buckets_for(relations)
+        placed = refs.withColumn("salt", salt_of("key", "relation_id", hot, n)).repartition(self.buckets, *_PLACE).distinct()
+        known = self.spread(lives(entities, library))
+        here = [F.col(f"f.{c}") == F.col(f"m.{c}").outer() for c in _PLACE]
+        begins, ends, seen = F.col("f.begins"), F.col("f.ends"), F.col("m.seen_at").outer()
+        live = known.alias("f").where(here[0] & here[1] & (begins.isNull() | (begins <= seen)) & (ends.isNull() | (seen < ends))).exists()
+        spans = known.groupBy(*_PLACE).agg(F.min("begins").alias("first"), F.max(_end()).alias("last"))
+        rows = placed.alias("m").select("*", live.alias("live")).join(spans, _PLACE, "left")
+        self.rows = bucketed(rows.select("relation_id", "source", "key", "salt", "seen_at", F.when(~F.col("live"), _reason()).alias("reason")), "references", _PLACE, self.buckets)
+        self.names = aliases(entities, library)
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Rows by key, repeated for each salt that references of the key may have."""
+        return rows.withColumn("salt", F.explode(self.all_salts))
+
+    def levels(self) -> DataFrame:
+        """The references with ``level``: 0 for direct orphans, above it for inherited faults, NULL for sound ones."""
+        sound = self.rows.where("reason is null")
+        records = fixpoint(self.rows.where("reason is not null").select("source"), sound, self.names, self.spread, lambda df: bucketed(df, "edges", _PLACE, self.buckets))
+        joined = self.rows.join(self.spread(records).withColumnRenamed("level", "of_target"), _PLACE, "left")
+        return joined.withColumn("level", F.when(F.col("reason").isNotNull(), 0).otherwise(F.col("of_target") + 1)).drop("of_target", "salt")
+
+
+def _end() -> Column:
+    return F.coalesce("ends", F.lit("9999-12-31").cast("timestamp_ntz"))
+
+
+def _reason() -> Column:
+    return F.when(F.col("last").isNull(), "missing").when(F.col("first") > F.col("seen_at"), "later").when(F.col("last") <= F.col("seen_at"), "deleted").otherwise("between")
+
+
+def fixpoint(faulty: DataFrame, edges: DataFrame, names: DataFrame | None, spread, lay, most_rounds: int | None = None) -> DataFrame:
+    """(key, level) of every faulty record under all its keys, from those that are faulty at once.
+
+    ``faulty`` has the ``source`` of the direct orphans, ``edges`` source, key and salt of the other references, laid
+    out by key and salt. Only edges to records that hold references themselves can pass a fault on, so the others are
+    left out before the first round. A round is a semi-join of the edges with the records of the last one, an anti-join of
+    the few sources found with all records reached, and one write, as one more partition of one table.
+    """
+    own = lambda df: df.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct()
+    names = None if names is None else written(names, "aliases")
+
+    def named(ids: DataFrame) -> DataFrame:
+        return ids if names is None else ids.unionByName(names.join(ids, "key", "left_semi").select(F.col("alias").alias("key"))).distinct()
+
+    holders = own(edges.select("source").unionByName(faulty.select("source")))
+    edges = lay(edges.join(spread(named(holders)), _PLACE, "left_semi").select("source", *_PLACE).distinct())
+    reached = Growing(edges.sparkSession, "records", "key string", "level")
+    n, level = reached.add(named(own(faulty)), 0), 0
+    while n and (most_rounds is None or level < most_rounds):
+        found = named(own(edges.join(spread(reached.part(level)), _PLACE, "left_semi")))
+        level += 1
+        n = reached.add(found.join(reached.all().select("key"), "key", "left_anti"), level)
+    return reached.all()
+
+
 def direct_orphans(relations: DataFrame, entities: DataFrame, library: DataFrame) -> DataFrame:
     """(relation_id, source, key, seen_at) of the references whose target is not live when they were seen."""
     found = salted_join(references(relations), lives(entities, library), "key", "left_anti", _covers(), spread="relation_id")
@@ -66,58 +140,41 @@ def direct_orphans(relations: DataFrame, entities: DataFrame, library: DataFrame
 
 def reasons(orphans: DataFrame, entities: DataFrame, library: DataFrame) -> DataFrame:
     """``orphans`` with ``reason``: missing (no such target), deleted (all lives are over), later (none has begun) or between."""
-    spans = lives(entities, library).groupBy("key").agg(F.min("begins").alias("first"), F.max(F.coalesce("ends", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("last"))
-    joined = orphans.join(spans, "key", "left")
-    reason = F.when(F.col("last").isNull(), "missing").when(F.col("first") > F.col("seen_at"), "later").when(F.col("last") <= F.col("seen_at"), "deleted").otherwise("between")
-    return joined.withColumn("reason", reason).drop("first", "last")
+    spans = lives(entities, library).groupBy("key").agg(F.min("begins").alias("first"), F.max(_end()).alias("last"))
+    return salted_join(orphans, spans, "key", "left", spread="relation_id").withColumn("reason", _reason()).drop("first", "last")
 
 
 def cascade(refs: DataFrame, direct: DataFrame, most_rounds: int | None = None, names: DataFrame | None = None) -> DataFrame:
     """(relation_id, level): 0 for direct orphans, k for references to a record that is faulty by k steps.
 
-    ``refs`` and ``direct`` have relation_id, source and key; rounds go on until nothing new is found. ``names`` are the
-    records' ``aliases``; without them no reference by an external id inherits a fault.
+    For references whose direct orphans are known already (``levels`` finds both): ``refs`` and ``direct`` have
+    relation_id, source and key. ``names`` are the records' ``aliases``; without them no reference by an external id
+    inherits a fault.
     """
-    names = None if names is None else written(names, "aliases")
-
-    def records(level: DataFrame) -> DataFrame:
-        """All keys of the records that hold the references of a level."""
-        ids = level.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct()
-        return ids if names is None else ids.unionByName(names.join(ids, "key", "left_semi").select(F.col("alias").alias("key"))).distinct()
-
-    found = written(direct.select("relation_id", "source", F.lit(0).alias("level")).distinct(), "level")
-    rest = written(refs.select("relation_id", "source", "key").distinct().join(found.select("relation_id"), "relation_id", "left_anti"), "references")
-    out = [found]
-    reached = written(records(found), "records")
-    frontier, before = reached, [reached]
-    level = 0
-    while not frontier.isEmpty() and (most_rounds is None or level < most_rounds):
-        level += 1
-        # a reference has one target and a key is in one frontier only, so no reference is found twice
-        found = written(rest.join(frontier, "key", "left_semi").select("relation_id", "source", F.lit(level).alias("level")), "level")
-        fresh = records(found)
-        for old in before:
-            fresh = fresh.join(old, "key", "left_anti")
-        frontier = written(fresh, "records")
-        before.append(frontier)
-        if len(before) > 4:  # few inputs to each round
-            merged = before[0]
-            for old in before[1:]:
-                merged = merged.unionByName(old)
-            before = [written(merged, "records")]
-        out.append(found)
-    result = out[0]
-    for one in out[1:]:
-        result = result.unionByName(one)
-    return result.groupBy("relation_id").agg(F.min("level").alias("level"))
+    hot, n, buckets = hot_keys(refs, "key"), salts(refs.sparkSession), buckets_for(refs)
+    every = all_salts("key", hot, n)
+    spread = lambda df: df.withColumn("salt", F.explode(every))
+    lay = lambda df: bucketed(df, "edges", _PLACE, buckets)
+    faulty = written(direct.select("relation_id", "source"), "orphans")
+    placed = refs.select("relation_id", "source", "key").withColumn("salt", salt_of("key", "relation_id", hot, n)).repartition(buckets, *_PLACE).distinct()
+    rest = lay(placed.join(faulty.select("relation_id"), "relation_id", "left_anti"))
+    records = fixpoint(faulty, rest, names, spread, lay, most_rounds)
+    inherited = rest.join(spread(records), _PLACE).select("relation_id", F.col("level") + 1)
+    found = faulty.select("relation_id", F.lit(0).alias("level")).union(inherited)
+    if most_rounds is not None:
+        found = found.where(F.col("level") <= most_rounds)
+    return found.groupBy("relation_id").agg(F.min("level").alias("level"))
+
+
+def levels(relations: DataFrame, entities: DataFrame, library: DataFrame) -> DataFrame:
+    """(relation_id, level) of every orphaned reference: 0 if directly, k if its target is a record faulty by k steps."""
+    found = Checked(relations, entities, library).levels().where("level is not null")
+    return found.groupBy("relation_id").agg(F.min("level").alias("level"))
 
 
 def report(relations: DataFrame, entities: DataFrame, library: DataFrame, name: str = "code_relations") -> DataFrame:
     """References and orphans per table, column and month: direct ones by reason, and inherited ones."""
-    refs = references(relations)
-    orphans = written(reasons(direct_orphans(relations, entities, library), entities, library), "orphans")
-    levels = cascade(refs, orphans, names=aliases(entities, library))
-    every = refs.dropDuplicates(["relation_id", "key", "seen_at"]).join(levels, "relation_id", "left").join(orphans.select("relation_id", "reason").distinct(), "relation_id", "left")
+    every = Checked(relations, entities, library).levels()
     column = F.when(F.col("key").startswith("id:"), "target_id").otherwise("target_ref")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return every.groupBy(F.lit(name).alias("table_name"), column.alias("column_name"), F.date_format("seen_at", "yyyy-MM").alias("period")).agg(

@@ -28,7 +28,8 @@ def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.direct_orphans(*_tables(spark, sf_dir)).select("relation_id").distinct()
+    """The first level of the fixpoint."""
+    return orphans.levels(*_tables(spark, sf_dir)).where("level = 0").select("relation_id")
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +38,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every orphaned relation with its level: 0 direct, above 0 inherited."""
-    relations, entities, library = _tables(spark, sf_dir)
-    return orphans.cascade(orphans.references(relations), orphans.direct_orphans(relations, entities, library), names=orphans.aliases(entities, library))
+    return orphans.levels(*_tables(spark, sf_dir))
 
 
 QUERIES = {"p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade}
