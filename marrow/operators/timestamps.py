@@ -7,9 +7,10 @@ zone transition tables.
 
 Defined cases: NULL and blank texts, texts of an unknown shape, impossible or incomplete dates and times, unknown
 zone names and abbreviations, contradicting days of the week, wall times that the zone skips or repeats, and texts
-without zone whose default zone is NULL or unknown have no instant, each with its reason in ``status``; very long
-texts have no known shape; a date in digits whose order is not known has no instant unless the order makes no
-difference; repeated rows give the same result; extra columns are kept.
+without zone whose default zone is NULL or unknown have no instant, each with its reason in ``status``; texts are read
+whole, however long; digits beyond microseconds are cut off and leading zeros of plain numbers left out before the mask is
+made; a date in digits whose order is not known has no instant unless the order makes no difference; repeated rows
+give the same result; extra columns are kept. The metadata of ``utc_micros`` name the version of the zone tables.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ _MONTHS = {m: k for k, m in enumerate(("january", "february", "march", "april",
 _MONTHS |= {m[:3]: k for m, k in _MONTHS.items()} | {"sept": 9}
 _DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 _DAYS_OF = {d: k for k, d in enumerate(_DAYS)} | {d[:3]: k for k, d in enumerate(_DAYS)} | {"tues": 1, "thur": 3, "thurs": 3}
-LONGEST = 80
+#: Characters of masks that a worker remembers; beyond, the memory is emptied, which changes no result.
+MEMORY = 4_000_000
 #: Numbers of seconds that count as plain: those of 2015 to 2030.
 EPOCH_FROM, EPOCH_TO = 1_420_070_400, 1_893_456_000
 #: Offsets in use on earth, in minutes.
@@ -67,22 +69,35 @@ class Shape:
 
 
 _shapes: dict[str, Shape | None] = {}
+_remembered = [0]
 
 
 def shape_of(mask: str) -> Shape | None:
-    if mask not in _shapes:
-        found = next((m for g in _GRAMMAR if (m := g.fullmatch(mask))), None) if len(mask) <= LONGEST else None
-        _shapes[mask] = Shape({k: m.span(k) for k, v in m.groupdict().items() if v is not None}) if (m := found) else None
-    return _shapes[mask]
+    if mask in _shapes:
+        return _shapes[mask]
+    m = next((m for g in _GRAMMAR if (m := g.fullmatch(mask))), None)
+    shape = Shape({k: m.span(k) for k, v in m.groupdict().items() if v is not None}) if m else None
+    _remembered[0] += len(mask) + 64
+    if _remembered[0] > MEMORY:
+        _shapes.clear()
+        _remembered[0] = len(mask) + 64
+    _shapes[mask] = shape
+    return shape
+
+
+_AROUND = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"'`“”‘’«»\ufeff\u200b"
+_BLANK = re.compile(r"[^\S ]")
+_BEYOND_MICROS = re.compile(r"(?<=[0-9])([.,][0-9]{6})[0-9]+")
+_PADDING = re.compile(r"0+(?=[0-9]{10,}(?:\.[0-9]+)?\Z)")
 
 
 def trimmed(text: str) -> str:
-    """The text without whitespace and quotes around it."""
-    while True:
-        t = text.strip().strip("\"'`“”‘’«»").strip("\ufeff\u200b")
-        if t == text:
-            return re.sub(r"[^\S ]", " ", t)
-        text = t
+    """The text without whitespace and quotes around it, digits beyond microseconds and zeros before plain numbers."""
+    t = _BLANK.sub(" ", text.strip(_AROUND))
+    if t.startswith("0"):
+        m = _PADDING.match(t)
+        t = t[m.end() :] if m else t
+    return _BEYOND_MICROS.sub(r"\1", t)
 
 
 def _digits(chars: np.ndarray, span: tuple[int, int]) -> np.ndarray:
@@ -123,10 +138,10 @@ def convert(texts: list[str | None], default_zones: list[str | None], orders: li
     clean: list[str] = [""] * n
     for i, t in enumerate(texts):
         if t:
-            c = trimmed(t) if len(t) <= 4 * LONGEST or len(t.strip()) <= LONGEST else t
+            c = trimmed(t)
             if c:
                 clean[i] = c
-                groups.setdefault(c.translate(_MASK) if len(c) <= LONGEST else "long", []).append(i)
+                groups.setdefault(c.translate(_MASK), []).append(i)
     for mask, rows in groups.items():
         shape = shape_of(mask)
         if shape is None:
@@ -245,7 +260,7 @@ def _epoch(f: dict, texts: list[str], chars: np.ndarray) -> tuple[np.ndarray, np
     """Plain numbers: the unit is the one that puts them between 2015 and 2030."""
     out, ok = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
     a, b = f["n"]
-    if b - a > 21:
+    if b - a > 21:  # without leading zeros: beyond 2030 in any unit
         return out, ok, ["impossible number"] * len(texts)
     for i, t in enumerate(texts):
         whole, frac = int(t[a:b]), (t[f["f"][0] : f["f"][1]] if "f" in f else "")
@@ -286,7 +301,7 @@ def normalise(df: DataFrame, text: str, zone: Column, order: Column, codes: dict
 
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema), "utc_micros long", "status string"])
     free = "_" + max(("", *(c for c in kept.columns)), key=len)  # longer than any name there is
-    return kept.select("*", F.col(text).alias(f"{free}_t"), zone.alias(f"{free}_z"), order.alias(f"{free}_o")).mapInArrow(run, schema)
+    return kept.select("*", F.col(text).alias(f"{free}_t"), zone.alias(f"{free}_z"), order.alias(f"{free}_o")).mapInArrow(run, schema).withMetadata("utc_micros", {"zone_tables": zones.version()})
 
 
 def normalise_concepts(concepts: DataFrame, repositories: DataFrame, zone_codes: DataFrame) -> DataFrame:

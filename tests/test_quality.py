@@ -43,6 +43,27 @@ def test_instants(text, zone, order, want):
     assert instant(text, zone, order) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "zone", "want"),
+    [
+        ("2024-03-01T07:30:52." + "9" * 70 + "Z", None, utc(2024, 3, 1, 7, 30, 52) + 999_999), ("2024-03-01 07:30:52,123456" + "0" * 90_000 + " +02:00", None, utc(2024, 3, 1, 5, 30, 52) + 123_456), ("0" * 5_000 + "1560374011.6", None, 1560374011_600000),
+        ("0" * 12 + "1662294248952847999", None, 1662294248_952847), ("0" * 30, None, "impossible number"), ("0" * 30 + "1", None, "impossible number"), ("9" * 6_000, None, "impossible number"), ("1560374011." + "5" * 6_000, None, 1560374011_555555),
+        ('" ' * 50_000 + "2024-03-01" + "' " * 50_000, "UTC", utc(2024, 3, 1)), ("2024-03-01T07:30:52+02:00 (" + "Central European Time " * 40 + ")", None, utc(2024, 3, 1, 5, 30, 52)),
+    ],
+)
+def test_length_does_not_matter(text, zone, want):
+    assert instant(text, zone) == want
+
+
+def test_forgetting_masks_changes_nothing(monkeypatch):
+    texts = ["2024-03-01T07:30:52Z", "a" * 40, "2024-03-01", "b-" * 30, "1560374011", "c " * 20 + "d", "Mar 26, 2023 12:21:23 AM"] * 3
+    want = [instant(t, "UTC") for t in texts]
+    monkeypatch.setattr(timestamps, "MEMORY", 150)
+    timestamps._shapes.clear()
+    assert [instant(t, "UTC") for t in texts] == want
+    assert sum(map(len, timestamps._shapes)) <= 150
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.datetimes(dt.datetime(1950, 1, 1), dt.datetime(2090, 1, 1)).map(lambda d: d.replace(microsecond=0)), st.sampled_from(["Europe/Berlin", "America/New_York", "Asia/Kathmandu", "Australia/Lord_Howe", "America/Sao_Paulo", "Africa/Casablanca", "UTC"]))
 def test_zone_tables_agree_with_the_library(wall, name):
@@ -60,6 +81,7 @@ def test_normalise_keeps_columns(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00Z", 1, {"a": "b"}, "z"), (None, 2, None, "y"), ("2024-01-01T00:00:00Z", 1, {"a": "b"}, "z")], "ts string, utc_micros int, _text map<string,string>, _zone string")
     got = timestamps.normalise(df, "ts", F.lit("UTC"), F.lit(None).cast("string"), {})
     assert got.columns == ["ts", "_text", "_zone", "utc_micros", "status"]
+    assert got.schema["utc_micros"].metadata == {"zone_tables": zones.version()}
     assert [r["utc_micros"] for r in got.collect()] == [utc(2024, 1, 1), None, utc(2024, 1, 1)]
     assert timestamps.normalise(df.limit(0), "ts", F.lit("UTC"), F.lit("dmy"), {}).count() == 0
 
