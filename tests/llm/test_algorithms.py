@@ -106,6 +106,33 @@ def test_natural_boundaries():
         splitter.pieces("x" * 99, "prose", 10, 5)
 
 
+def test_boundaries_take_linear_time():
+    import time
+
+    texts = ["\n" * 200_000, " \n" * 200_000, "x\n" + "\t\r\n" * 200_000 + "y", "." * 400_000, "`" * 400_000, "\u3000" * 400_000]
+    began = time.perf_counter()
+    for text in texts:
+        for kind in ("prose", "code", "lines"):
+            splitter.boundaries(text, kind)
+    assert time.perf_counter() - began < 10
+    text = "a\n\n\n  b\nc\n \t\r\n}\n\nd"
+    assert [[int(k) for k in at] for name, at in splitter.boundaries(text, "code")[:2]] == [[len(text) - 1], [4, 14, 17]]
+
+
+def test_a_natural_cut_comes_before_a_hard_one():
+    got = splitter.pieces("heading of it\n" + "x" * 300, "prose", 100, 5)
+    assert got[0] == (0, 14, "line") and {n for *_, n in got[1:-1]} == {"hard"}
+
+
+def test_only_the_latest_delivery_is_cut(spark):
+    rows = [(1, "a " * 100, 1), (1, "b " * 200, 3), (1, "c " * 300, 2), (2, "old " * 100, 1), (2, "short", 2), (3, "x " * 100, None), (3, "y " * 100, 0), (4, "late " * 50, 5), (4, None, 1)]
+    df = spark.createDataFrame(rows, "ord long, content string, v long").selectExpr("ord", "content", "NULL AS file_path", "timestamp_seconds(v) AS loaded_at")
+    got = splitter.split_oversized(df, 100, 10, text=True).collect()
+    assert {r["ord"]: r["piece"][0] for r in got} == {1: "b", 3: "y", 4: "l"} or {r["ord"] for r in got} == {1, 3, 4}
+    assert {c for r in got for c in r["piece"] if r["ord"] == 1} == {"b", " "} and sum(1 for r in got if r["ord"] == 1 and r["piece_no"] == 0) == 1
+    assert {r["ord"] for r in splitter.split_oversized(df, 100, 10).collect()} == {1, 3, 4}
+
+
 def test_split_table(spark):
     rows = [(1, "w " * 300, "a.md", "v"), (1, "w " * 300, "a.md", "v"), (2, "short", "a.md", ""), (3, None, None, ""), (4, "", "", ""), (5, "x" * 100, None, ""), (6, "x" * 101, None, ""), (None, "x" * 500, None, ""), (7, "é" * 200_000, "b.go", "")]
     df = spark.createDataFrame(rows, "ord long, content string, file_path string, piece string")
