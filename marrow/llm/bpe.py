@@ -4,7 +4,8 @@ The merge table is compiled into a trie of tokens and a compatibility test for n
 by side only if no merge ever crosses their border. Then the encoding of every prefix of a word is the encoding of a
 shorter prefix plus one compatible token, and only prefixes from which a token can still grow matter. A state of the
 transducer is that set of live prefixes, each with its place in the trie and with the tokens not yet emitted; states
-and transitions are made the first time a byte leads to them and kept for the life of the worker. What all live
+and transitions are made the first time a byte leads to them and kept until there are ``TRANSITIONS``; then all but the
+state at hand are forgotten, in the middle of a word too, and made again as needed. What all live
 prefixes agree upon is emitted, so output lags by at most one longest token. Decoding streams through an incremental
 UTF-8 state machine.
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Words remembered by a worker with their ids; when full, the memory is emptied. It changes no result.
 MEMO_WORDS = 400_000
+#: Transitions, and borders between tokens, that a worker keeps. They change no result either.
+TRANSITIONS, BORDERS = 400_000, 400_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken", directory: str | None = None) -> str:
@@ -61,14 +64,30 @@ class Transducer:
             self._token[node] = rank
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        start = (-1, ((0, ()),))
-        self._index = {start: 0}
-        self._states = [start]
-        self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self._end: list[tuple[int, ...]] = [()]
+        self._index: dict[tuple, int] = {}
+        self._states: list[tuple] = []
+        self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self._end: list[tuple[int, ...]] = []
+        self._forget()
         self._words = regex.compile(pattern or word_pattern()).findall
         self._memo: dict[str, tuple[int, ...]] = {}
 
+    def _forget(self) -> None:
+        """Back to the first state alone; tables stay the same objects."""
+        self._made = 0
+        for table in (self._index, self._states, self._next, self._end):
+            table.clear()
+        self._state((-1, ((0, ()),)), ())
+
+    def _state(self, key: tuple, end: tuple[int, ...]) -> int:
+        to = self._index.get(key)
+        if to is None:
+            to = self._index[key] = len(self._states)
+            self._states.append(key)
+            self._next.append({})
+            self._end.append(end)
+        return to
+
     @classmethod
     def load(cls, path: str, pattern: str | None = None) -> Transducer:
         with open(path, "rb") as f:
@@ -90,6 +109,8 @@ class Transducer:
         """Whether merging the bytes of both ends with exactly these two tokens."""
         key = (left, right)
         if (known := self._fits.get(key)) is None:
+            if len(self._fits) >= BORDERS:
+                self._fits.clear()
             known = self._fits[key] = self._border_holds(left, right)
         return known
 
@@ -116,6 +137,11 @@ class Transducer:
                 j -= 1
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        if self._made >= TRANSITIONS:
+            here, end = self._states[state], self._end[state]
+            self._forget()
+            state = self._state(here, end)
+        self._made += 1
         prev, live = self._states[state]
         grown: list[tuple[int, tuple[int, ...]]] = []
         ended: tuple[int, ...] | None = None
@@ -139,12 +165,7 @@ class Transducer:
         rest = tuple((node, path[cut:]) for node, path in grown)
         last = emitted[-1] if emitted else prev
         key = (last if any(not path for _, path in rest) else -2, rest)
-        to = self._index.get(key)
-        if to is None:
-            to = self._index[key] = len(self._states)
-            self._states.append(key)
-            self._next.append({})
-            self._end.append(rest[-1][1])
+        to = self._state(key, rest[-1][1])
         self._next[state][byte] = (to, emitted)
         return to, emitted
 

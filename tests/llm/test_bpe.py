@@ -36,6 +36,17 @@ def test_words_are_kept_to_a_bound(monkeypatch, library):
     assert t.encode(text) == library(text) and len(t._memo) <= 3
 
 
+def test_states_are_kept_to_a_bound(monkeypatch, library):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzé中") for _ in range(rnd.randint(1, 400))) for _ in range(60)]
+    for bound in (1, 7, 500):
+        monkeypatch.setattr(bpe, "TRANSITIONS", bound)
+        monkeypatch.setattr(bpe, "BORDERS", bound)
+        t = bpe.Transducer.load(PATH)
+        assert [t.encode(x) for x in texts] == [library(x) for x in texts]
+        assert sum(map(len, t._next)) <= bound and len(t._fits) <= bound and len(t._states) == len(t._next) == len(t._end) <= bound + 2
+
+
 def test_decode_stream():
     t = bpe.transducer(PATH)
     ids = t.encode("é😀")
