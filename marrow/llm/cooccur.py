@@ -117,7 +117,8 @@ def together(table: DataFrame, key: str = "ord", items: str = "tags", version: s
     cleaned = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(items), F.array().cast("array<string>")), item_key), lambda x: x.isNotNull() & (x != "")))
     rows = table.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), cleaned.alias("items"), *([F.coalesce(F.col(version).cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("v")] if version else []))
     latest = rows.groupBy("k").agg((F.max_by("items", F.struct("v", "items")) if version else F.max("items")).alias("items"))
-    counts = written(gram(latest.select("items")), "gram")
+    # an item of such a pair stands in as many records itself, so what is below ``least`` is not needed on
+    counts = written(gram(latest.select("items")).where((F.col("n") >= least) | F.col("item_a").isNull()), "gram")
     single = counts.where("item_a = item_b")
     pairs = counts.where((F.col("item_a") < F.col("item_b")) & (F.col("n") >= least)).withColumnRenamed("n", "n_ab")
     total = counts.where("item_a is null").agg(F.sum("n").alias("n"))
