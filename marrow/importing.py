@@ -144,14 +144,26 @@ def apply_import(plan: DataFrame, index: DataFrame, kb_dir: str, forced: str = "
     return {k: int(v or 0) for k, v in row.asDict().items()}, fresh
 
 
+def present_sources(index: DataFrame) -> DataFrame:
+    """Size and time of each tracked source that is there and no entry of an archive; the executors look them up."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for source, target in zip(pdf["source_path"], pdf["target_path"], strict=True):
+                try:
+                    s = os.stat(source)
+                except OSError:
+                    continue
+                out.append((source, target, s.st_size, dt.datetime.fromtimestamp(s.st_mtime, dt.UTC), source))
+            yield pd.DataFrame(out, columns=["source_path", "target_path", "size", "mtime", "file"]).astype({"mtime": "datetime64[us, UTC]"})
+
+    return index.where(~F.col("source_path").contains("::")).select("source_path", "target_path").mapInPandas(look, SOURCES)
+
+
 def sync(spark: SparkSession, index: DataFrame, kb_dir: str, forced: str = "", prune: bool = False) -> tuple[dict[str, int], DataFrame]:
     """Import every tracked source again; with ``prune`` forget those that are gone, but not entries of archives."""
-    rows = []
-    for r in index.select("source_path", "target_path").toLocalIterator():
-        if "::" not in r["source_path"] and os.path.exists(r["source_path"]):
-            s = os.stat(r["source_path"])
-            rows.append((r["source_path"], r["target_path"], s.st_size, dt.datetime.fromtimestamp(s.st_mtime, dt.UTC), r["source_path"]))
-    listed = spark.createDataFrame(rows, SOURCES)
+    listed = present_sources(index)
     files = index.where(~F.col("source_path").contains("::"))
     plan = plan_import(listed, files, kb_dir, forced)
     counts, fresh = apply_import(plan, files, kb_dir, forced)

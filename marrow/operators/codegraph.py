@@ -442,7 +442,7 @@ def include_files(files: DataFrame, include: list[str], exclude_dirs: list[str],
 
 # --- reports --------------------------------------------------------------------------------------------------------
 # A report is a DataFrame of lines (part, key columns, line). Long ones (all relations) stay lines, to be written by the
-# executors; those bounded by the number of types, authors or folders can be gathered into one concept.
+# executors; others are gathered into concepts of a bounded number of lines.
 
 
 def _counts_section(part: int, counts: DataFrame, key: str) -> DataFrame:
@@ -500,7 +500,15 @@ def overview_report(files: DataFrame, author_files: DataFrame, project: str, bra
     return reduce(DataFrame.unionByName, [_heads(files.sparkSession, head), total, kinds, best])
 
 
+#: Lines of a report that one concept holds.
+LINES_OF_CONCEPT = 50_000
+
+
 def as_concept(lines: DataFrame, type_: str, title: str, path: str, description: str = "", tags: tuple[str, ...] = ()) -> DataFrame:
-    """A bounded report as one concept."""
-    body = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "k1", "k2", "line"))), lambda x: x["line"]), "\n").alias("content"))
-    return body.select(F.lit(type_).alias("type"), F.lit(title).alias("title"), F.lit(description).alias("description"), F.lit("").alias("resource"), F.array(*(F.lit(t) for t in tags)).cast("array<string>").alias("tags"), F.lit("").alias("timestamp"), F.concat("content", F.lit("\n")).alias("content"), F.lit(path).alias("file_path"), F.create_map().cast("map<string,string>").alias("custom"))
+    """A report as a concept; one of more than ``LINES_OF_CONCEPT`` lines goes on in further ones, ``path`` with ``.2`` and so on before its ending."""
+    placed = rank.numbered(lines.select("part", "k1", "k2", "line").orderBy("part", "k1", "k2", "line"), "n")
+    chapter = F.floor((F.col("n") - 1) / LINES_OF_CONCEPT) + 1
+    body = placed.groupBy(chapter.cast("int").alias("_c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    stem, dot, ending = path.rpartition(".")
+    own = F.when(F.col("_c") == 1, path).otherwise(F.concat(F.lit(stem or path), F.lit("."), F.col("_c").cast("string"), F.lit(dot + ending if stem else "")))
+    return body.select(F.lit(type_).alias("type"), F.lit(title).alias("title"), F.lit(description).alias("description"), F.lit("").alias("resource"), F.array(*(F.lit(t) for t in tags)).cast("array<string>").alias("tags"), F.lit("").alias("timestamp"), F.concat("content", F.lit("\n")).alias("content"), own.alias("file_path"), F.create_map().cast("map<string,string>").alias("custom"))

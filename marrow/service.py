@@ -11,10 +11,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.operators import bundle, codegraph, context, predicates, rank
+from marrow.functions.session import written
+from marrow.operators import bundle, changes, codegraph, context, predicates, rank
 from marrow.sources import git, markdown, state
 
 SCHEMA = "kb.tool.v1"
+#: Failures that an error's text names; it tells how many there are and where all of them stand.
+SHOWN = 20
 FILTERS = ("type", "tag", "path", "language", "symbol_kind", "qualified_name", "relation_kind", "relation_source", "relation_target")
 # Criteria of the query that narrow candidates for each exact filter.
 _CRITERIA = {"language": "code_language", "symbol_kind": "code_symbol_kind", "qualified_name": "code_qualified_name", "relation_kind": "code_relation_kind", "relation_source": "code_relation_source", "relation_target": "code_relation_target"}
@@ -143,22 +146,20 @@ class Service:
             meta = codegraph.commit_metadata(git.change_log(self.spark, self.repo))
             summaries = codegraph.summaries(files).join(files.select("path", "modified_at"), "path", "left").join(meta, "path", "left")
             concepts = codegraph.concepts_of(summaries).withColumn("ord", F.lit(0))
-            removed: list[str] = []
+            removed = 0
             if not full and last:
-                changed = git.changed_files(self.repo, last, head)
-                present = {r[0] for r in files.select("path").toLocalIterator()}
-                removed = [p for p in changed if p not in present]
-                concepts = concepts.where(F.col("file_path").isin([p for p in changed if p in present]))
-            for p in removed:
-                target = os.path.join(where, p + ("" if p.endswith(".md") else ".md"))
-                if os.path.isfile(target):
-                    os.remove(target)
+                # what git tells to have changed since is as long as that difference, and is joined, not listed in the plan
+                changed = self.spark.createDataFrame([(p,) for p in git.changed_files(self.repo, last, head)], "path string")
+                gone = changes.tombstones(changed, files).where("deleted").select(F.concat("path", F.when(F.col("path").endswith(".md"), "").otherwise(".md")).alias("save_path"))
+                removed = markdown.remove_files(gone, where)
+                concepts = concepts.join(changed.distinct(), F.col("file_path") == F.col("path"), "left_semi")
             saved = markdown.save_bundle(concepts, where, generated=True)
-            errors = [r["error"] for r in saved.where("error is not null").limit(20).collect()]
-            if errors:
-                raise ServiceError("save_failed", "; ".join(errors))
+            failed = saved.where("error is not null")
+            if n := failed.count():
+                some = "; ".join(f"{r['save_path']}: {r['error']}" for r in failed.orderBy("save_path").limit(SHOWN).collect())
+                raise ServiceError("save_failed", f"{n} files could not be written, the first of them: {some}", f"all are listed in {written(failed.coalesce(1), 'save-errors').inputFiles()[0]}")
             state.write_state(where, head)
-            return {"mode": "full" if full or not last else "incremental", "concepts": saved.count(), "removed": len(removed)}, []
+            return {"mode": "full" if full or not last else "incremental", "concepts": saved.count(), "removed": removed}, []
 
         return self.envelope("init" if full else "refresh", run, mutating=True)
 
@@ -169,5 +170,3 @@ def to_json(envelope: dict[str, Any]) -> str:
 
 def exit_code(envelope: dict[str, Any]) -> int:
     return 0 if envelope["ok"] else 1
-
-

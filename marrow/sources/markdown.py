@@ -324,3 +324,20 @@ def save_bundle(concepts: DataFrame, root: str, generated: bool = False) -> Data
     from marrow.functions.session import written
 
     return written(rows.mapInPandas(write, "save_path string, error string"), "saved")
+
+
+def remove_files(paths: DataFrame, root: str) -> int:
+    """Remove the files of ``paths`` (save_path) below a shared folder, on the executors; how many there were."""
+    folder = os.path.abspath(root.removeprefix("file://"))
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = 0
+            for p in pdf["save_path"]:
+                path = os.path.normpath(os.path.join(folder, p))
+                if path.startswith(folder + os.sep) and os.path.isfile(path):
+                    os.remove(path)
+                n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return int(paths.select("save_path").distinct().mapInPandas(remove, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])

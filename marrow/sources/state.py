@@ -7,6 +7,7 @@ import json
 import os
 import re
 import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,11 @@ except ImportError:
     yaml = None
 
 
-def write_atomic(path: str, data: str) -> None:
+def write_atomic(path: str, data: str | Iterable[str]) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     fd, part = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(data)
+        f.writelines([data] if isinstance(data, str) else data)
     os.replace(part, path)
 
 
@@ -45,31 +46,47 @@ def write_state(knowledge_dir: str, commit: str) -> None:
 
 
 # --- file index ---------------------------------------------------------------------------------------------------
+# Within the engine the index is a table. The JSON form is for exchange with other tools.
 
-_NAMES = {"sourcePath": "source_path", "targetPath": "target_path", "contentHash": "content_hash", "lastModified": "last_modified", "lastImported": "last_imported", "fileSize": "file_size", "strategy": "strategy", "patchFields": "patch_fields", "sourceExists": "source_exists"}
+# Fixed names of the JSON form, in its order, with the columns of the table.
+_NAMES = {
+    "sourcePath": "source_path", "targetPath": "target_path", "contentHash": "content_hash", "lastModified": "last_modified", "lastImported": "last_imported",
+    "fileSize": "file_size", "strategy": "strategy", "patchFields": "patch_fields", "sourceExists": "source_exists",
+}
+_JSON = "version string, files map<string, struct<sourcePath: string, targetPath: string, contentHash: string, lastModified: string, lastImported: string, fileSize: bigint, strategy: string, patchFields: array<string>, sourceExists: boolean>>"
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON index as a table; a missing file is an empty one, a corrupt one an error."""
+    """A JSON index as a table; a missing file is an empty one, a corrupt one an error. Spark reads it, not the driver."""
     if not os.path.exists(path):
         return spark.createDataFrame([], INDEX)
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    rows = []
-    for target, m in (data.get("files") or {}).items():
-        stamp = lambda v: dt.datetime.fromisoformat(v.replace("Z", "+00:00")) if v else None
-        rows.append((m.get("sourcePath", ""), m.get("targetPath") or target, m.get("contentHash", ""), stamp(m.get("lastModified")), stamp(m.get("lastImported")), m.get("fileSize", 0), m.get("strategy", ""), m.get("patchFields") or [], m.get("sourceExists", True)))
-    return spark.createDataFrame(rows, INDEX)
+    whole = spark.read.schema(_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    m = whole.select(F.explode("files").alias("target", "m")).select("target", "m.*")
+    stamp = lambda c: F.when(F.col(c) != "", F.col(c).cast("timestamp"))
+    absent = {"lastModified": stamp("lastModified"), "lastImported": stamp("lastImported"), "fileSize": F.coalesce("fileSize", F.lit(0).cast("long")), "patchFields": F.coalesce("patchFields", F.array().cast("array<string>")), "sourceExists": F.coalesce("sourceExists", F.lit(True))}
+    absent["targetPath"] = F.coalesce(F.nullif("targetPath", F.lit("")), F.col("target"))
+    return m.select(*(absent.get(old, F.coalesce(old, F.lit(""))).alias(new) if old in absent or old in ("sourcePath", "contentHash", "strategy") else F.col(old).alias(new) for old, new in _NAMES.items()))
 
 
 def save_index(index: DataFrame, path: str) -> None:
-    """The index as JSON for other tools, replaced in one step. Within the engine it is kept as a table."""
+    """The index as JSON for other tools, replaced in one step: rows pass through the driver one partition at a time, none is kept."""
+    from marrow.functions.session import written
+
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    files: dict[str, dict] = {}
-    for r in index.withColumn("last_modified", stamp("last_modified")).withColumn("last_imported", stamp("last_imported")).toLocalIterator():
-        files[r["target_path"]] = {old: r[new] for old, new in _NAMES.items()}
-    newest = max((f["lastImported"] for f in files.values() if f["lastImported"]), default="")
-    write_atomic(path, json.dumps({"version": "1.0", "updatedAt": newest, "files": files, "bySource": {f["sourcePath"]: t for t, f in files.items()}}, indent=2))
+    row = F.to_json(F.struct(*((stamp(new) if new.startswith("last_") else F.col(new)).alias(old) for old, new in _NAMES.items())), {"ignoreNullFields": "false"})
+    rows = written(index.select("target_path", "source_path", "last_imported", row.alias("row")).sort("target_path"), "index")
+    newest = rows.agg(stamp(F.max("last_imported"))).first()[0] or ""
+
+    def parts() -> Iterator[str]:
+        yield '{\n  "version": "1.0",\n  "updatedAt": ' + json.dumps(newest) + ',\n  "files": {'
+        for k, r in enumerate(rows.select("target_path", "row").toLocalIterator()):
+            yield ("," if k else "") + f"\n    {json.dumps(r[0])}: {r[1]}"
+        yield '\n  },\n  "bySource": {'
+        for k, r in enumerate(rows.select("source_path", "target_path").toLocalIterator()):
+            yield ("," if k else "") + f"\n    {json.dumps(r[0])}: {json.dumps(r[1])}"
+        yield "\n  }\n}\n"
+
+    write_atomic(path, parts())
 
 
 # --- settings -----------------------------------------------------------------------------------------------------
@@ -159,26 +176,41 @@ def duration_ms(v: str | int | float | None) -> int:
     return int(sum(float(a) * unit[b] for a, b in parts))
 
 
-def watch_config(data: dict, base_dir: str) -> WatchConfig:
-    """Rules with their defaults; relative sources lie below ``base_dir``. Raises ValueError for what is not valid."""
-    version = data.get("version") or 1
-    if version != 1:
-        raise ValueError(f"unsupported watch config version: {version} (supported: 1)")
+def _faults(data: dict) -> Iterator[str]:
+    """What keeps a configuration from being used."""
+    if (data.get("version") or 1) != WATCH_VERSION:
+        yield f"configurations of version {data['version']} are not understood, only those of {WATCH_VERSION}"
     if not data.get("rules"):
-        raise ValueError("at least one rule is required in watch config")
-    debounce = duration_ms(data.get("debounce")) or 300
-    rules = []
-    for k, r in enumerate(data["rules"], 1):
-        name = r.get("name") or f"rule-{k}"
+        yield "there is no rule to watch by"
+    for r in data.get("rules") or []:
         if not r.get("sources"):
-            raise ValueError(f"rule {name!r}: sources cannot be empty")
-        strategy = r.get("strategy") or "merge"
-        if strategy not in STRATEGIES:
-            raise ValueError(f"rule {name!r}: invalid strategy {strategy!r}")
-        sources = tuple(s if os.path.isabs(s) else os.path.normpath(os.path.join(base_dir, s)) for s in r["sources"])
-        rules.append(WatchRule(name, sources, strategy, tuple(r.get("patterns") or ("**/*.md",)), duration_ms(r.get("debounce")) or debounce, tuple(r.get("patchFields") or ())))
-    folder = data.get("knowledgeDir") or os.path.join(".kb", "knowledge")
-    return WatchConfig(tuple(rules), folder if os.path.isabs(folder) else os.path.join(base_dir, folder), debounce)
+            yield f"{_called(data, r)} names nothing to watch"
+        if (r.get("strategy") or DEFAULT_STRATEGY) not in STRATEGIES:
+            yield f"{_called(data, r)} wants to merge by {r['strategy']!r}; there are {', '.join(STRATEGIES)}"
+
+
+def _called(data: dict, rule: dict) -> str:
+    return rule.get("name") or f"rule-{data['rules'].index(rule) + 1}"
+
+
+# The only version, and what holds where a rule says nothing.
+WATCH_VERSION, DEFAULT_STRATEGY, DEFAULT_PATTERNS, DEFAULT_DEBOUNCE_MS = 1, "merge", ("**/*.md",), 300
+
+
+def watch_config(data: dict, base_dir: str) -> WatchConfig:
+    """Rules with their defaults; relative places lie below ``base_dir``. A ValueError has all that is wrong."""
+    if faults := list(_faults(data)):
+        raise ValueError("; ".join(faults))
+    below = lambda p: os.path.normpath(os.path.join(base_dir, p))
+    quiet = duration_ms(data.get("debounce")) or DEFAULT_DEBOUNCE_MS
+    rules = tuple(
+        WatchRule(
+            name=_called(data, r), sources=tuple(map(below, r["sources"])), strategy=r.get("strategy") or DEFAULT_STRATEGY, patterns=tuple(r.get("patterns") or DEFAULT_PATTERNS),
+            debounce_ms=duration_ms(r.get("debounce")) or quiet, patch_fields=tuple(r.get("patchFields") or ()),
+        )
+        for r in data["rules"]
+    )
+    return WatchConfig(rules, below(data.get("knowledgeDir") or os.path.join(".kb", "knowledge")), quiet)
 
 
 def load_watch_config(path: str, default_name: str = ".watch.yaml") -> WatchConfig:
@@ -187,5 +219,3 @@ def load_watch_config(path: str, default_name: str = ".watch.yaml") -> WatchConf
     file = os.path.join(path, default_name) if os.path.isdir(path) else path
     with open(file, encoding="utf-8") as f:
         return watch_config(yaml.safe_load(f) or {}, os.path.dirname(os.path.abspath(file)))
-
-

@@ -1,3 +1,4 @@
+import time
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -71,3 +72,34 @@ def test_file_events(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("files").first()
     assert r["path"].endswith("/x.md") and bytes(r["content"]) == b"hello" and r["op"] == "create"
+
+
+def test_listing_events(spark):
+    at = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    before = spark.createDataFrame([("/s/a.md", 1, at(1)), ("/s/b.md", 2, at(2)), ("/s/c.md", 3, at(3)), ("/s/d.md", 4, at(4)), ("/s/e1", 5, at(5)), ("/s/e2", 5, at(5))], watch.LISTING)
+    after = spark.createDataFrame([("/s/a.md", 1, at(1)), ("/s/b.md", 2, at(9)), ("/s/moved.md", 3, at(3)), ("/s/new.md", 4, at(8)), ("/s/f1", 5, at(5))], watch.LISTING)
+    got = {r["path"]: (r["op"], r["renamed_to"]) for r in watch.listing_events(before, after).collect()}
+    assert got == {"/s/b.md": ("write", None), "/s/c.md": ("rename", "/s/moved.md"), "/s/moved.md": ("create", None), "/s/d.md": ("remove", None), "/s/new.md": ("create", None), "/s/e1": ("rename", "/s/f1"), "/s/e2": ("remove", None), "/s/f1": ("create", None)}
+    assert watch.listing_events(before, before).count() == 0 and watch.listing_events(before.limit(0), before).count() == 6
+    rules = {r["path"]: r["op"] for r in watch.matched(watch.listing_events(before, after), CONFIG, operations=("remove", "rename")).collect()}
+    assert rules == {"/s/c.md": "rename", "/s/d.md": "remove"}
+
+
+def test_removals_and_renames_reach_the_rules(spark, tmp_path):
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "a.md").write_text("a")
+    (folder / "b.md").write_text("bb")
+    config = watch_config({"rules": [{"sources": [str(folder)]}]}, "/")
+    seen: list[tuple] = []
+    query = watch.start_listing(spark, str(folder), config, lambda df, _: seen.extend((r["target"], r["op"]) for r in df.collect()), str(tmp_path / "state"), every="200 milliseconds")
+    wait = lambda done: next((True for _ in range(300) if done() or time.sleep(0.1)), False)
+    try:
+        assert wait(lambda: len(seen) >= 2)
+        (folder / "a.md").unlink()
+        assert wait(lambda: ("a.md", "remove") in seen)
+        (folder / "b.md").rename(folder / "c.md")
+        assert wait(lambda: {("b.md", "rename"), ("c.md", "create")} <= set(seen))
+    finally:
+        query.stop()
+    assert sorted(seen) == [("a.md", "create"), ("a.md", "remove"), ("b.md", "create"), ("b.md", "rename"), ("c.md", "create")]
