@@ -13,7 +13,10 @@ Blocks at fixed offsets, probed by every window, would need every window of ever
 (8 bytes or more for a character of text); choosing the block by its hash keeps the anchors of both sides equal and
 sends one window in about 51. See README for the figures.
 
-Keys of anchors have 64 bits (a collision there only costs work); keys that decide have 128 bits.
+Keys of anchors have 64 bits (a collision there only costs work). Keys that decide have 128: a polynomial one, and a
+multilinear one with random coefficients, by which any two different spans agree with a probability of at most 2**-64
+(its two halves are strongly universal), whatever the texts. In a text that repeats with a period of p characters, p
+below ``block``, one window in p is an anchor, all of them with one hash: every window of a run of one character.
 
 Defined cases: NULL, empty and texts shorter than ``least`` have no spans and a share of 0; copies of a whole text are
 one span over all of it; a span that is repeated only within its own record is not shared; repeated ids count as one
@@ -34,8 +37,8 @@ from marrow.functions.session import written
 
 LEAST = 200
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_LOW = _U((1 << 24) - 1)
+_BASE = 0x9E3779B97F4A7C15
+_LOW, _HALF = _U((1 << 24) - 1), _U(32)
 _PIECE = 1 << 23  # characters of a text that are hashed at once; pieces overlap
 
 
@@ -66,16 +69,16 @@ def _spread_chars(chars: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of all windows of a text by prefix sums of a polynomial modulo 2**64."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def __init__(self, chars: np.ndarray, which: int = 0):
-        n, base = len(chars), _BASES[which] | 1
-        have = self._powers.get(which)
-        if have is None or len(have[0]) <= n:
+    def __init__(self, chars: np.ndarray):
+        n = len(chars)
+        if not self._powers or len(self._powers[0][0]) <= n:
             size = max(1 << 14, 1 << (n + 1).bit_length())
-            p, inv = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+            p, inv = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
             p[0] = inv[0] = 1
-            have = self._powers[which] = np.cumprod(p, dtype=np.uint64), np.cumprod(inv, dtype=np.uint64)
+            self._powers[:] = [(np.cumprod(p, dtype=np.uint64), np.cumprod(inv, dtype=np.uint64))]
+        have = self._powers[0]
         self.inverse = have[1]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_spread_chars(chars) * have[0][:n], out=self.sums[1:])
@@ -88,6 +91,23 @@ class Rolling:
         return _mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
 
 
+_coefficients: dict[int, np.ndarray] = {}
+_ROWS = 4096  # windows that are multiplied at once
+
+
+def strong(chars: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Multilinear hashes of the windows at ``start``: two of 32 bits, the high halves of sums of products modulo 2**64."""
+    if length not in _coefficients:
+        _coefficients[length] = np.random.default_rng(length).integers(0, 1 << 64, (length + 1, 2), np.uint64)
+    c = _coefficients[length]
+    windows = np.lib.stride_tricks.sliding_window_view(chars, length)
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), _ROWS):
+        h = windows[start[a : a + _ROWS]].astype(np.uint64) @ c[1:] + c[0]
+        out[a : a + _ROWS] = (h[:, 0] >> _HALF) | ((h[:, 1] >> _HALF) << _HALF)
+    return out
+
+
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each ``w`` neighbours, from running minima of blocks of ``w`` in both directions."""
     n = len(a)
@@ -194,7 +214,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id
         if not len(at):
             return None
         whole = at - reach
-        return Rolling(chars).at(whole, reach + least).view(np.int64), Rolling(chars, 1).at(whole, reach + least).view(np.int64), at.astype(np.int32)
+        return Rolling(chars).at(whole, reach + least).view(np.int64), strong(chars, whole, reach + least).view(np.int64), at.astype(np.int32)
 
     around = written(in_several(_of_texts(per_text(hits), "doc long, k1 long, k2 long, at int", neighbourhoods, "places")), "around")
 
@@ -203,7 +223,7 @@ def shared_spans(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id
         chars = code_points(text)
         _, at, n = anchors(chars, least)
         start = np.flatnonzero(np.repeat(np.isin(at, np.asarray(where.values, np.int64)), n))
-        return Rolling(chars).at(start, least).view(np.int64), Rolling(chars, 1).at(start, least).view(np.int64), start.astype(np.int32)
+        return Rolling(chars).at(start, least).view(np.int64), strong(chars, start, least).view(np.int64), start.astype(np.int32)
 
     open_anchors = hits.join(around, ["doc", "at"], "left_anti").select("h").distinct()
     edges = _of_texts(per_text(hits.join(open_anchors, "h", "left_semi")), "doc long, k1 long, k2 long, at int", spans, "places")

@@ -257,6 +257,26 @@ def test_spans_by_brute_force(spark):
     assert {d: r["shared_chars"] for d, r in share.items() if r["shared_chars"]} == {d: len(s) for d, s in covered.items()}
 
 
+def test_strong_keys():
+    rnd = np.random.default_rng(7)
+    chars = np.r_[rnd.integers(0, 0x110000, 3000), np.full(2000, 97)].astype(np.uint32)
+    start = np.arange(len(chars) - 49)
+    got = spans.strong(chars, start, 50)
+    c = [[int(x) for x in row] for row in spans._coefficients[50]]
+    for at in (0, 17, 4200, 4950):
+        sums = [(c[0][k] + sum(int(chars[at + i]) * c[i + 1][k] for i in range(50))) % (1 << 64) for k in (0, 1)]
+        assert int(got[at]) == sums[0] >> 32 | sums[1] >> 32 << 32
+    assert len(np.unique(got)) == 3001 and np.array_equal(spans.strong(chars, start[::-1], 50)[::-1], got)
+    assert len(spans.strong(chars, start[:0], 50)) == 0
+
+
+def test_spans_of_repetitive_texts(spark):
+    runs = [(1, "=" * 700), (2, "x" + "=" * 650), (3, "ab" * 400 + "z"), (4, "q" + "ab" * 300), (5, "=" * 150), (6, "abc" * 90), (7, "-" * 500)]
+    df = spark.createDataFrame(runs, "doc_id long, text string")
+    got = {(r["doc_id"], r["span_start"], r["span_length"]) for r in spans.shared_spans(df).collect()}
+    assert got == brute_spans(runs, 200)
+
+
 def test_spans_of_few_rows(spark):
     df = spark.createDataFrame([(1, "a" * 500), (1, "a" * 500)], "doc_id long, text string")
     assert spans.shared_spans(df.limit(0)).count() == 0
