@@ -65,7 +65,8 @@ def read_texts(listed: DataFrame) -> DataFrame:
     return listed.select("source_path", "file").mapInPandas(read, "source_path string, content string")
 
 
-def _validate(strict: bool):  # noqa: ANN202
+def validated(strict: bool):  # noqa: ANN201
+    """A column function that tells why a text is no document, or nothing."""
     check = validate_strict if strict else validate_lenient
 
     def validate(texts: pd.Series) -> pd.Series:
@@ -104,7 +105,7 @@ def plan_import(listed: DataFrame, index: DataFrame, kb_dir: str, forced: str =
     if patch_fields:
         rows = rows.withColumn("patch_fields", F.array(*(F.lit(f) for f in patch_fields)))
     applied = changes.apply_strategies(rows.withColumnRenamed("result", "detected"), forced).withColumnRenamed("result", "text").withColumnRenamed("detected", "result")
-    invalid = _validate(strict)("source")
+    invalid = validated(strict)("source")
     taken = (F.col("result") == changes.NEW) & F.col("owner").isNotNull() & (F.col("owner") != F.col("source_path"))
     error = F.when(taken, F.concat(F.lit("target is tracked already: "), "target_path")).when((F.col("used") != "skip") | (F.col("result") == changes.NEW), F.nullif(invalid, F.lit("")))
     done = applied.withColumn("error", error).select("source_path", "target_path", "result", "used", "changed", "text", "error", "new_hash", "size", "mtime")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marrow.plans import contexts, data_quality, documents, knowledge, pipeline, streams
+from marrow.plans import contexts, data_quality, documents, knowledge, pipeline, storage, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | documents.QUERIES | pipeline.QUERIES | contexts.QUERIES | streams.QUERIES | data_quality.QUERIES
-SQL: dict[str, str] = knowledge.SQL | documents.SQL | pipeline.SQL | contexts.SQL | streams.SQL | data_quality.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = knowledge.QUERIES | documents.QUERIES | pipeline.QUERIES | contexts.QUERIES | streams.QUERIES | storage.QUERIES | data_quality.QUERIES
+SQL: dict[str, str] = knowledge.SQL | documents.SQL | pipeline.SQL | contexts.SQL | streams.SQL | storage.SQL | data_quality.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,17 @@ def render_document(c: dict) -> str:
     return "".join(out) + body + ("\n" if body and not body.endswith("\n") else "")
 
 
+def render_texts(concepts: DataFrame) -> DataFrame:
+    """(file_path, text): every concept as a document."""
+    have = [c for c in _COLUMNS if c in concepts.columns and c != "error"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"file_path": pdf["file_path"], "text": [render_document(r) for r in pdf.to_dict("records")]})
+
+    return concepts.select(*have).mapInPandas(run, "file_path string, text string")
+
+
 PARSED = "file_path string, type string, title string, description string, resource string, tags array<string>, timestamp string, content string, custom map<string,string>, custom_types map<string,string>, error string"
 _COLUMNS = [c.split()[0] for c in PARSED.split(", ")]
 
