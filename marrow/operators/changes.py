@@ -153,19 +153,26 @@ def apply_strategies(pairs: DataFrame, forced: str = "") -> DataFrame:
     fields = F.when(F.size(F.coalesce("patch_fields", F.array().cast("array<string>"))) > 0, F.col("patch_fields")).otherwise(F.array(*(F.lit(f) for f in PATCH_FIELDS)))
     source, target, used = F.col("source"), F.col("target"), F.col("used")
     parses = target.isNotNull() & used.isin("merge", "patch")
-    # each step is a column of its own, so that what it holds is computed once and only where it is needed
-    steps = (
+    # a generator of one row keeps the optimizer from writing what a step computes into each place where it is used
+    once = lambda c: F.explode(F.array(c))
+    s, t = F.col("_s"), F.col("_t")
+    merged = F.when(used == "merge", _merged_fields(s, t)).when(used == "patch", _patched_fields(s, t, fields))
+    found = F.coalesce(s["found"] | t["found"], F.lit(False))
+    rendered = F.when(F.col("_found"), render_frontmatter(F.col("_m.scalars"), F.col("_m.lists"), F.col("_body"))).otherwise(target)
+    result = F.when(target.isNull() | (used == "overwrite"), source).when(used == "skip", target).otherwise(rendered)
+    read = (
         pairs.withColumn("used", decide_strategy(forced))
-        .withColumn("_s", F.when(parses, split_frontmatter(source)))
-        .withColumn("_t", F.when(parses, split_frontmatter(target)))
-        .withColumn("_m", F.when(used == "merge", _merged_fields(F.col("_s"), F.col("_t"))).when(used == "patch", _patched_fields(F.col("_s"), F.col("_t"), fields)))
+        .withColumn("_s", once(F.when(parses, split_frontmatter(source))))
+        .withColumn("_t", once(F.when(parses, split_frontmatter(target))))
+        .withColumn("_m", once(merged))
+        .withColumn("_found", found)
+        .withColumn("_body", t["body"])
+        .withColumn("result", once(result))
     )
-    rendered = F.when(F.col("_s.found") | F.col("_t.found"), render_frontmatter(F.col("_m.scalars"), F.col("_m.lists"), F.col("_t.body"))).otherwise(target)
-    result = F.when(target.isNull() | (used == "overwrite"), source).when(used == "skip", target).otherwise(rendered)
     # a merge of two texts without fields is written again if they differ
-    unread = (used == "merge") & ~F.col("_s.found") & ~F.col("_t.found")
+    unread = (used == "merge") & ~F.col("_found")
     changed = F.when(target.isNull() | (used == "overwrite"), True).when(used == "skip", False).when(unread, source != target).otherwise(F.col("result") != target)
-    return steps.withColumn("result", result).withColumn("changed", changed).drop("_s", "_t", "_m")
+    return read.withColumn("changed", changed).drop("_s", "_t", "_m", "_found", "_body")
 
 
 def updated_index(index: DataFrame, detected: DataFrame, now: Column, target: Column | None = None, forced: str = "") -> DataFrame:
