@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.operators import context, rank
+from marrow.plans.knowledge import _ORDER, _SYMBOLS, _hits
 from marrow.plans.tables import relation_concepts, symbol_concepts, table
 
 QUESTIONS = ((0, "registry"), (1, "harbor"), (2, "snapshot"), (3, "load"))
@@ -61,7 +62,18 @@ QUERIES = {f.__name__: f for f in (token_estimate, snippet_range, snippet_keywor
 _DOC = "WITH d AS (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents)"
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(12288)"
 _BLANK = f"trim({{0}}, {_WS}) = ''"
+# The hits of each question, then their neighbours: relations whose source or target is the hit's path, in order, with the concept that stands for the other end.
+_ASKED = " UNION ALL ".join(f"SELECT {i}::INTEGER AS query_id, * FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM ({_hits(repr(q))}) WHERE score > 0) WHERE rank <= {context.MOST_CANDIDATES}" for i, q in QUESTIONS)
+_NEAR = _SYMBOLS + f""", hit AS ({_ASKED}),
+rw AS (SELECT kind, source AS src, target AS tgt, target AS raw, 'relations/' || relation_id || '.md' AS rp, relation_id FROM rel WHERE coalesce(kind, '') <> ''),
+ending AS (SELECT *, src AS stop FROM rw UNION SELECT *, tgt FROM rw),
+best AS (SELECT path AS source_path, title, start_line, end_line, concept_path, provenance FROM (SELECT regexp_replace(custom['source_path'], '^\\./', '') AS path, title, coalesce(try_cast(custom['start_line'] AS INTEGER), 0) AS start_line, coalesce(try_cast(custom['end_line'] AS INTEGER), 0) AS end_line, file_path AS concept_path,
+  CASE WHEN trim(custom['provenance']) <> '' THEN custom['provenance'] ELSE 'kb.code' END AS provenance, row_number() OVER (PARTITION BY custom['source_path'] ORDER BY coalesce(try_cast(custom['start_line'] AS INTEGER), 0), title, file_path) AS k FROM kb WHERE custom['source_path'] <> '') WHERE k = 1),
+met AS (SELECT query_id, rank, score - 1 AS score, kind, src, tgt, raw, rp, relation_id, CASE WHEN tgt = stop THEN src ELSE tgt END AS other FROM ending JOIN hit ON hit.source_path = stop WHERE stop <> ''),
+near AS (SELECT * FROM (SELECT query_id, rank, score, 'relation ' || kind || ' from ' || src || ' to ' || tgt AS reason, best.*, row_number() OVER (PARTITION BY query_id, rank ORDER BY kind, raw, rp, relation_id) AS slot FROM met JOIN best ON best.source_path = other) WHERE slot <= {context.MOST_NEIGHBOURS})
+"""
 SQL = {
+    "relation_neighbours": _NEAR + "SELECT query_id, rank, slot, source_path, title, reason, score FROM near",
     "token_estimate": "SELECT doc_id, ceil(length(coalesce(text, '')) / 4.0)::INTEGER AS tokens FROM documents",
     "snippet_range": _DOC + f""", e AS (SELECT *, len(l) AS n, CASE WHEN len(l) >= 6 AND NOT {_BLANK.format("l[6]")} THEN 6 ELSE least(5, len(l)) END AS b FROM d),
 c AS (SELECT doc_id, n, rtrim(array_to_string(l[2:b], chr(10)), chr(10)) AS wide, rtrim(array_to_string(l[3:least(5, n)], chr(10)), chr(10)) AS core FROM e),

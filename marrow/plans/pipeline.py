@@ -280,10 +280,67 @@ d AS (SELECT coalesce(now.source_path, idx.source_path) AS source_path, CASE WHE
   WHEN h = h2 THEN 'meta_changed' ELSE 'content_changed' END AS result, h, h2, strategy, idx.source_path IS NOT NULL AS tracked FROM now FULL JOIN idx ON now.source_path = idx.source_path)
 """
 
+# Go as SQL reads it: comments and literals blanked out line by line, declarations at the beginnings of lines, ends at closing brackets there.
+_BETWEEN = r"""//[^\n]*|/\*(?s:.)*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
+_BLANKED = "array_to_string(list_transform(range(1, len(seg) + 1), lambda i: seg[i] || CASE WHEN i > len(tok) THEN '' WHEN {keep} THEN tok[i] ELSE repeat(chr(10), len(tok[i]) - len(replace(tok[i], chr(10), ''))) END), '')"
+_GO = _FILES + f"""
+, lexed AS (SELECT source_id, repository_id, path, string_split_regex(ltrim(content, chr(65279)), '{_BETWEEN.replace("'", "''")}') AS seg, regexp_extract_all(ltrim(content, chr(65279)), '{_BETWEEN.replace("'", "''")}') AS tok FROM f WHERE type = 'go' AND content <> ''),
+blanked AS (SELECT source_id, repository_id, path, replace({_BLANKED.format(keep="false")}, chr(13), '') AS code, {_BLANKED.format(keep="NOT starts_with(tok[i], '/')")} AS lit FROM lexed),
+gl AS (SELECT source_id, repository_id, path, unnest(string_split(code, chr(10))) AS l, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS i FROM blanked),
+pkg0 AS (SELECT source_id, min_by(regexp_extract(l, '^package +(\\w+)', 1), i) AS package FROM gl WHERE regexp_matches(l, '^package +\\w') GROUP BY 1),
+decl AS (SELECT *, regexp_extract(l, '^func\\s*\\(([^)]*)\\)', 1) AS recv, CASE WHEN starts_with(l, 'func') THEN regexp_extract(l, '^func\\s*(?:\\([^)]*\\))?\\s*([\\pL_]\\w*)', 1) ELSE regexp_extract(l, '^type\\s+([\\pL_]\\w*)', 1) END AS name,
+  len(l) - len(replace(l, '{{', '')) = len(l) - len(replace(l, '}}', '')) AND len(l) - len(replace(l, '(', '')) = len(l) - len(replace(l, ')', '')) AS closed FROM gl WHERE regexp_matches(l, '^(func|type)\\b')),
+ends AS (SELECT d.source_id, d.i, min(e.i) AS j FROM decl d JOIN gl e ON d.source_id = e.source_id AND e.i > d.i AND regexp_matches(e.l, '^[}})]\\s*$') GROUP BY 1, 2),
+go AS (SELECT d.source_id, repository_id, path, d.i AS start_line, (CASE WHEN closed THEN d.i ELSE j END) AS end_line, name, package,
+  CASE WHEN recv = '' THEN '' ELSE regexp_extract(regexp_replace(recv, '\\[.*$', ''), '([\\pL_]\\w*)[^\\w]*$', 1) END AS receiver, contains(recv, '*') AS pointer,
+  CASE WHEN recv <> '' THEN 'method' WHEN starts_with(l, 'func') THEN 'function' WHEN regexp_matches(l, '^type\\s+\\w+\\s*(\\[[^\\]]+\\])?\\s*=?\\s*struct\\b') THEN 'struct' WHEN regexp_matches(l, '^type\\s+\\w+\\s*(\\[[^\\]]+\\])?\\s*=?\\s*interface\\b') THEN 'interface' ELSE 'type' END AS kind
+  FROM decl d JOIN pkg0 USING (source_id) LEFT JOIN ends USING (source_id, i)),
+gonames AS (SELECT DISTINCT source_id, CASE kind WHEN 'method' THEN CASE WHEN pointer THEN '(*' || receiver || ').' ELSE receiver || '.' END || name WHEN 'function' THEN name ELSE kind || ' ' || name END AS name FROM go),
+goimp AS (SELECT DISTINCT source_id, unnest(list_transform(regexp_extract_all(h, '"([^"\\n]+)"|`([^`\\n]+)`'), lambda x: trim(x, '"`'))) AS name FROM (SELECT source_id, regexp_extract(lit, '(?s)^(.*?)(?:\\n(?:func|type|var|const)\\b|$)', 1) AS h FROM blanked))
+"""
+
+
+def _found_sql(patterns: dict[str, list[str]], extra: str = "") -> str:
+    tests = " UNION ".join(f"SELECT source_id, trim(regexp_extract(l, '{p.replace(chr(39), chr(39) * 2)}', 1), chr(9) || chr(10) || chr(13) || ' ') AS name FROM line WHERE type = '{t}'" for t, ps in patterns.items() if t != "go" for p in ps)
+    return f"SELECT source_id, name FROM ({tests}) WHERE name <> '' {extra}"
+
+
+_SUMMARIES = _GO + f""", line AS (SELECT source_id, type, unnest(string_split(content, chr(10))) AS l FROM f),
+imps AS ({_found_sql(codegraph.IMPORTS)} UNION SELECT source_id, name FROM goimp), fns AS ({_found_sql(codegraph.FUNCTIONS, "AND strlen(name) < 80")} UNION SELECT source_id, name FROM gonames),
+warned AS (SELECT source_id FROM f WHERE type = 'go' AND (content = '' OR source_id NOT IN (SELECT source_id FROM pkg0))),
+summary AS (SELECT f.*, CASE WHEN content = '' THEN 0 ELSE len(content) - len(replace(content, chr(10), '')) + CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END END AS line_count,
+  (SELECT count(*) FROM imps WHERE imps.source_id = f.source_id) AS n_imports, (SELECT count(*) FROM fns WHERE fns.source_id = f.source_id) AS n_functions, (SELECT count(*) FROM go WHERE go.source_id = f.source_id) AS n_symbols,
+  CASE WHEN source_id IN (SELECT source_id FROM warned) THEN 1 ELSE 0 END AS n_warnings FROM f)
+"""
+
 SQL = {
     "file_types": _FILES + " SELECT type, count(*) AS n FROM f GROUP BY type",
     "imports_extract": _lines_sql(codegraph.IMPORTS),
     "functions_extract": _lines_sql(codegraph.FUNCTIONS, "AND strlen(name) < 80"),
+    "go_symbols": _GO + "SELECT repository_id, path, kind, name, receiver, package, regexp_matches(name, '^\\p{Lu}') AS exported, start_line, end_line FROM go",
+    "file_summaries": _SUMMARIES + "SELECT repository_id, path, type, coalesce(size, strlen(content)) AS size, line_count, n_imports, n_functions, n_symbols, n_warnings FROM summary",
+    "file_concepts": _SUMMARIES + r"""
+, own AS (SELECT *, CASE WHEN repository_id = '' THEN 'repo' ELSE repository_id END AS repo, CASE WHEN path = '' THEN 'file' ELSE path END AS named, coalesce(size, strlen(content)) AS bytes, chr(10) AS n FROM summary),
+lists AS (SELECT own.*, (SELECT string_agg('- `' || name || '`' || chr(10), '') FROM imps WHERE imps.source_id = own.source_id) AS i, (SELECT string_agg('- `' || name || '`' || chr(10), '') FROM fns WHERE fns.source_id = own.source_id) AS g,
+  (SELECT string_agg('- `' || kind || '` `' || CASE WHEN receiver <> '' THEN receiver || '.' ELSE '' END || name || '` (' || CASE WHEN regexp_matches(name, '^\p{Lu}') THEN 'exported' ELSE 'unexported' END || ') at `' || go.path || ':' || start_line || '-' || end_line || '`' || chr(10), '') FROM go WHERE go.source_id = own.source_id) AS y,
+  (SELECT any_value(package) FROM go WHERE go.source_id = own.source_id) AS package FROM own),
+body AS (SELECT *, '## File: `' || path || '`' || n || n || '## Code Metadata' || n || n || '**Schema Version:** 1' || n || n || '**Entity ID:** `code:' || repo || ':' || named || '#file:' || named || '`' || n || n || '**Generated:** true' || n || n
+  || '## Source' || n || n || '- Path: `' || path || '`' || n || '- Language: `' || type || '`' || n || '- Lines: 1-' || line_count || n || n || '**Type:** ' || upper(type) || n || n || '**Size:** ' || bytes || ' bytes / ' || line_count || ' lines' || n || n
+  || '**Commit Count:** 0' || n || n || '**Last Modified:** ' || n || n || CASE WHEN n_symbols > 0 THEN '**Package:** `' || package || '`' || n || n ELSE '' END
+  || CASE WHEN n_warnings > 0 THEN '### Parse Warnings' || n || n || '- failed to parse Go: no package clause' || n || n ELSE '' END
+  || coalesce('### Imports' || n || n || i || n, '') || coalesce('### Functions' || n || n || g || n, '') || coalesce('### Symbols' || n || n || y || n, '') AS content_made FROM lists)
+SELECT repository_id, path AS file_path, regexp_extract(path, '[^/]*$') AS title, upper(type) || ' file: ' || path || ' (' || line_count || ' lines)' AS description, 'code://repo/' || path AS resource, length(content_made) AS n_content FROM body""",
+    "summaries_read_back": _SUMMARIES + "SELECT repository_id, path, type, n_imports, n_symbols FROM summary WHERE n_imports > 0 OR n_symbols > 0",
+    "report_concepts": r"""SELECT 'project' AS type, 'Project Overview' AS title, 'project/project_overview.md' AS file_path, (""" + _FILES + r""", a AS (SELECT 'u' || user_id AS author, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, author LIMIT 10), line AS (
+  SELECT '## Project: `demo`' || repeat(chr(10), 2) || '**Branch:** `main`' || repeat(chr(10), 2) || '**Current Commit:** `0123456789ab`' || chr(10) AS l UNION ALL SELECT '**Total Files:** ' || count(*) || chr(10) FROM f UNION ALL SELECT '### File Types' || chr(10)
+  UNION ALL SELECT '- **' || type || ':** ' || count(*) || ' files' FROM f GROUP BY type UNION ALL SELECT chr(10) || '### Top Contributors' || chr(10) UNION ALL SELECT '- ' || author || ' (' || n || ' files)' FROM a) SELECT sum(length(l) + 1) FROM line)::INTEGER AS n_content
+UNION ALL SELECT 'code_repository', 'Code Repository', 'project/code_repository.md', (""" + _IDS + r""", ents AS (SELECT id FROM sid UNION SELECT id FROM fid UNION SELECT rid FROM fid UNION SELECT pid FROM fid WHERE pkg <> '' UNION SELECT id FROM iid),
+rels AS (SELECT rid AS a, id AS b, '' AS c, path AS p, 0 AS l FROM fid UNION SELECT rid, pid, '', '', 0 FROM fid WHERE pkg <> '' UNION SELECT pid, id, '', path, 0 FROM fid WHERE pkg <> '' UNION SELECT fid.id, iid.id, target, path, 0 FROM fid JOIN iid USING (repo, path)
+  UNION SELECT fid.id, sid.id, '', path, a FROM fid JOIN sid USING (repo, path) UNION SELECT pid, sid.id, '', path, a FROM fid JOIN sid USING (repo, path) WHERE pkg <> ''),
+line AS (SELECT '## Code Repository' || repeat(chr(10), 2) || '**Repository:** `demo`' || repeat(chr(10), 2) || '**Repository ID:** `demo`' || chr(10) AS l
+  UNION ALL SELECT '**Indexed Files:** ' || (SELECT count(*) FROM f) || repeat(chr(10), 2) || '**Code Entities:** ' || (SELECT count(*) FROM ents) || repeat(chr(10), 2) || '**Code Relations:** ' || (SELECT count(*) FROM rels) || chr(10)
+  UNION ALL SELECT '### Language Distribution' || chr(10) UNION ALL SELECT '- **' || type || ':** ' || count(*) FROM f GROUP BY type UNION ALL SELECT chr(10) || '### Symbol Counts' || chr(10) UNION ALL SELECT '- **' || kind || ':** ' || count(*) FROM s GROUP BY kind
+  UNION ALL SELECT chr(10) || '### Generated Artifacts' || repeat(chr(10), 2) || '- `project/code_repository.md`' || chr(10) || '- `project/code_relations.md`' UNION ALL SELECT '- `' || path || '.md`' FROM f) SELECT sum(length(l) + 1) FROM line)::INTEGER""",
     "line_counts": _FILES + " SELECT source_id, CASE WHEN content = '' THEN 0 ELSE len(content) - len(replace(content, chr(10), '')) + CASE WHEN ends_with(content, chr(10)) THEN 0 ELSE 1 END END AS line_count FROM f",
     "relationship_graph": _GRAPH + "SELECT kind, source, target, meta FROM graph",
     "relationship_lines": _GRAPH + "SELECT CASE kind WHEN 'file_import' THEN 0 WHEN 'package_import' THEN 1 WHEN 'file_owns_symbol' THEN 2 ELSE 3 END AS section, '- `' || source || '` ' || CASE WHEN kind IN ('file_import', 'package_import') THEN 'imports' ELSE 'owns' END || ' `' || target || '`' || CASE WHEN meta <> '' THEN ' (' || meta || ')' ELSE '' END AS line FROM graph",
