@@ -111,7 +111,23 @@ two AS (
 )
 """
 
+# Every window of 200 characters of every text, those that stand in more than one document, and the runs that they make.
+_SPANS = """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, md5_number(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, n - 198)) AS i FROM d)),
+common AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM common)),
+run AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit),
+span AS (SELECT doc_id, (min(i) - 1)::INTEGER AS span_start, (max(i) - min(i) + 200)::INTEGER AS span_length FROM run GROUP BY doc_id, g)
+"""
+
 SQL: dict[str, str] = {
+    "p8_found": _SPANS + "SELECT DISTINCT doc_id FROM span",
+    "p8_spans": _SPANS + "SELECT doc_id, span_start, span_length FROM span",
+    "p8_share": _SPANS + """, fresh AS (SELECT *, greatest(0, span_start + span_length - greatest(span_start, coalesce(max(span_start + span_length) OVER (PARTITION BY doc_id ORDER BY span_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS f FROM span),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(f)::BIGINT AS shared_chars FROM fresh GROUP BY doc_id)
+SELECT doc_id, length(coalesce(text, '')) AS n_chars_now, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN length(coalesce(text, '')) > 0 THEN round(coalesce(shared_chars, 0) / length(text), 6) ELSE 0.0 END AS shared_share
+FROM documents LEFT JOIN c USING (doc_id)""",
     "p2_found": _PAIRS + "SELECT tag_a, tag_b FROM pairs WHERE n_ab * n >= 3 * n_a * n_b",
     "p2_lift": _PAIRS + "SELECT tag_a, tag_b, n_ab, n_a, n_b, round(n_ab::DOUBLE * n / (n_a::DOUBLE * n_b), 6) AS lift FROM pairs",
     "p3_found": "SELECT DISTINCT ord FROM concepts WHERE length(content) > (SELECT size_limit FROM budgets WHERE purpose = 'concept_piece')",
