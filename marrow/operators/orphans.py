@@ -172,12 +172,21 @@ def levels(relations: DataFrame, entities: DataFrame, library: DataFrame) -> Dat
     return found.groupBy("relation_id").agg(F.min("level").alias("level"))
 
 
+def level_counts(relations: DataFrame, entities: DataFrame, library: DataFrame) -> DataFrame:
+    """(column_name, level, n): orphaned references by the column that names the target and by level."""
+    found = Checked(relations, entities, library).levels().where("level is not null")
+    return found.groupBy(_column().alias("column_name"), "level").agg(F.count("*").alias("n"))
+
+
+def _column() -> Column:
+    return F.when(F.col("key").startswith("id:"), "target_id").otherwise("target_ref")
+
+
 def report(relations: DataFrame, entities: DataFrame, library: DataFrame, name: str = "code_relations") -> DataFrame:
     """References and orphans per table, column and month: direct ones by reason, and inherited ones."""
     every = Checked(relations, entities, library).levels()
-    column = F.when(F.col("key").startswith("id:"), "target_id").otherwise("target_ref")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return every.groupBy(F.lit(name).alias("table_name"), column.alias("column_name"), F.date_format("seen_at", "yyyy-MM").alias("period")).agg(
+    return every.groupBy(F.lit(name).alias("table_name"), _column().alias("column_name"), F.date_format("seen_at", "yyyy-MM").alias("period")).agg(
         F.count("*").alias("n_references"),
         count(F.col("level") == 0).alias("n_direct"),
         *(count(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"n_{r}") for r in ("missing", "deleted", "later", "between")),

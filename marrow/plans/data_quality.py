@@ -41,7 +41,12 @@ def p5_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.levels(*_tables(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade}
+def p5_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphaned references by the column that names their target and by level."""
+    return orphans.level_counts(*_tables(spark, sf_dir))
+
+
+QUERIES = {"p4_found": p4_found, "p4_instants": p4_instants, "p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade, "p5_levels": p5_levels}
 
 _ORPHANS = r"""
 WITH RECURSIVE lives AS (
@@ -71,9 +76,20 @@ levels AS (
   ) GROUP BY relation_id
 )
 """
+# The same with records known by their external ids too.
+_NAMED_LEVELS = """, named(source, k) AS (
+  SELECT DISTINCT source, 'id:' || source FROM refs WHERE source <> ''
+  UNION SELECT trim(entity_id), 'ext:' || trim(external_id) FROM code_entities WHERE trim(external_id) <> '' UNION SELECT trim(entity_id), 'ext:' || trim(external_id) FROM library_entities WHERE trim(external_id) <> ''
+), faulty(k, level) AS (
+  SELECT DISTINCT named.k, 0 FROM orphan JOIN named USING (source)
+  UNION SELECT named.k, level + 1 FROM refs JOIN faulty ON refs.k = faulty.k JOIN named ON named.source = refs.source WHERE level < 40
+), first_level AS (SELECT k, min(level) AS level FROM faulty GROUP BY k),
+found AS (SELECT DISTINCT relation_id, k, 0 AS level FROM orphan UNION SELECT relation_id, k, level + 1 FROM refs JOIN first_level USING (k) WHERE relation_id NOT IN (SELECT relation_id FROM orphan))
+"""
 _SPANS = ", spans AS (SELECT k, min(f) AS first, max(coalesce(t, TIMESTAMP '9999-12-31')) AS last FROM lives GROUP BY k)"
 SQL = {
     "p5_found": _ORPHANS + "SELECT DISTINCT relation_id FROM orphan",
+    "p5_levels": _ORPHANS + _NAMED_LEVELS + "SELECT CASE WHEN k LIKE 'id:%' THEN 'target_id' ELSE 'target_ref' END AS column_name, level, count(*) AS n FROM found GROUP BY 1, 2",
     "p5_cascade": _ORPHANS + _LEVELS + "SELECT relation_id, level FROM levels",
     "p5_report": _ORPHANS + _LEVELS + _SPANS + """
 , every AS (

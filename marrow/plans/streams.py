@@ -53,12 +53,16 @@ def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (debounce_sessions, watch_matches, debounce_stream)}
 
-SQL = {
-    "debounce_sessions": """
+_BURSTS = """
 WITH e AS (SELECT '/src/u' || user_id || '.md' AS path, ts, event_type AS op FROM events),
 b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS begins FROM e),
 s AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM b)
-SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, arg_max(op, ts) AS op FROM s GROUP BY path, burst""",
+SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, arg_max(op, ts) AS op FROM s GROUP BY path, burst"""
+
+SQL = {
+    "debounce_sessions": _BURSTS,
+    # a burst is told once its quiet time ends before the watermark, a day behind the last event
+    "debounce_stream": _BURSTS + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "watch_matches": """
 SELECT 'u' || user_id || '.md' AS target, CASE WHEN starts_with(user_id::VARCHAR, '1') THEN 1 ELSE 0 END AS rule, CASE WHEN starts_with(user_id::VARCHAR, '1') THEN 2000 ELSE 300 END AS debounce_ms, count(*) AS n
 FROM events GROUP BY 1, 2, 3""",
