@@ -112,24 +112,30 @@ def fixpoint(faulty: DataFrame, edges: DataFrame, names: DataFrame | None, sprea
 
     ``faulty`` has the ``source`` of the direct orphans, ``edges`` source, key and salt of the other references, laid
     out by key and salt. Only edges to records that hold references themselves can pass a fault on, so the others are
-    left out before the first round. A round is a semi-join of the edges with the records of the last one, an anti-join of
+    left out before the first round. Rounds know records by their ids; the external ids of the last ones are looked up. A round is a semi-join of the edges with the records of the last one, an anti-join of
     the few sources found with all records reached, and one write, as one more partition of one table.
     """
-    own = lambda df: df.select(_key("id", F.col("source")).alias("key")).where("key is not null").distinct()
+    own = lambda df: df.select(_key("id", F.col("source")).alias("key")).where("key is not null")
     names = None if names is None else written(names, "aliases")
 
     def named(ids: DataFrame) -> DataFrame:
-        return ids if names is None else ids.unionByName(names.join(ids, "key", "left_semi").select(F.col("alias").alias("key"))).distinct()
+        """Records under all their keys; a key that several share is there for each."""
+        return ids if names is None else ids.unionByName(names.join(ids, "key", "left_semi").select(F.col("alias").alias("key")))
 
-    holders = own(edges.select("source").unionByName(faulty.select("source")))
-    edges = lay(edges.join(spread(named(holders)), _PLACE, "left_semi").select("source", *_PLACE).distinct())
+    holders = own(edges.select("source").unionByName(faulty.select("source"))).distinct()
+    useful = edges.join(spread(named(holders)), _PLACE, "left_semi").select(_key("id", F.col("source")).alias("record"), *_PLACE).where("record is not null")
+    edges = lay(useful.distinct())
     reached = Growing(edges.sparkSession, "records", "key string", "level")
-    n, level = reached.add(named(own(faulty)), 0), 0
+    n, level = reached.add(own(faulty).distinct(), 0), 0
     while n and (most_rounds is None or level < most_rounds):
-        found = named(own(edges.join(spread(reached.part(level)), _PLACE, "left_semi")))
+        found = edges.join(spread(named(reached.part(level))), _PLACE, "left_semi").select(F.col("record").alias("key")).distinct()
         level += 1
         n = reached.add(found.join(reached.all().select("key"), "key", "left_anti"), level)
-    return reached.all()
+    records = reached.all()
+    if names is None:
+        return records
+    shared = names.join(records, "key").groupBy(F.col("alias").alias("key")).agg(F.min("level").alias("level"))
+    return records.unionByName(shared)
 
 
 def direct_orphans(relations: DataFrame, entities: DataFrame, library: DataFrame) -> DataFrame:
