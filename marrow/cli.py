@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import subprocess
 import sys
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import SparkSession
 from marrow import importing
 from marrow.operators import bundle, lint, predicates
 from marrow.service import FILTERS, Service, exit_code, to_json
-from marrow.sources import markdown, state
+from marrow.sources import hooks, markdown, state
 
 INDEX_FILE = ".index.json"
 
@@ -38,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     command("add", (("paths",), {"nargs": "+"}), text("--strategy"), text("--patch-fields"), flag("--detect-only"), flag("--strict"))
     command("sync", text("--strategy"), flag("--prune"))
     command("metadata", (("action",), {"choices": ["inspect", "rebuild", "clean"]}))
+    command("hook", (("--type",), {"default": "post-commit", "choices": list(hooks.HOOKS)}), flag("--uninstall"), flag("--force"))
     command("status")
     command("query", text("-q"), (("--limit",), {"type": int, "default": 10}), flag("--trace"), *(text("--" + f.replace("_", "-")) for f in FILTERS))
     command("context", text("-q"), (("--budget",), {"type": int, "default": 4000}), flag("--relations"))
@@ -46,6 +48,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
+    if a.command == "hook":
+        return _hook(a)
     spark = spark or SparkSession.builder.appName("marrow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     service = Service(spark, a.repo, a.dir)
     where = service.paths()[0].path
@@ -61,7 +65,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(to_json(got))
         return exit_code(got)
     if a.command in ("add", "sync", "metadata"):
-        return _index_command(spark, a, where)
+        with state.exclusive(os.path.join(where, INDEX_FILE)):  # one writer at a time
+            return _index_command(spark, a, where)
     concepts, rejects = markdown.load_bundle(spark, where)
     if a.command == "lint":
         issues = lint.lint(concepts, lint.Config(required_tags=tuple(t for t in a.require.split(",") if t)))
@@ -78,6 +83,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
+def _hook(a: argparse.Namespace) -> int:
+    try:
+        done = hooks.uninstall(a.repo or ".", a.type) if a.uninstall else hooks.install(a.repo or ".", a.type, a.force)
+    except (hooks.HookError, subprocess.CalledProcessError) as e:
+        print(e)
+        return 1
+    print(f"{a.type} hook {'removed' if a.uninstall else 'installed'}" if done else f"{a.type} hook was {'not there' if a.uninstall else 'there already'}")
+    return 0
+
+
 def _index_command(spark: SparkSession, a: argparse.Namespace, where: str) -> int:
     path = os.path.join(where, INDEX_FILE)
     index = state.load_index(spark, path)

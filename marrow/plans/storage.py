@@ -23,7 +23,7 @@ from marrow.plans.knowledge import _C, _LINT, _hits
 from marrow.plans.pipeline import _DETECT, _FILES, _listing, files
 from marrow.plans.tables import KB, concepts, once, table
 from marrow.service import Service
-from marrow.sources import archives, git, markdown, state
+from marrow.sources import archives, git, hooks, markdown, state
 from marrow.streaming import watch
 
 
@@ -325,8 +325,43 @@ def service_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*rows, (3, "files", True, "", len(markdown.list_files(kb)), 0)], "step int, operation string, ok boolean, mode string, concepts long, removed long")
 
 
+def hooks_installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hook installed, installed again, in the way of another one, and removed."""
+    repo, rows = folder(spark, "hooked"), []
+    git.run(repo, "init", "-q")
+    for kind in hooks.HOOKS:
+        done = [hooks.install(repo, kind), hooks.install(repo, kind)]
+        path = hooks.place(repo, kind)
+        able = os.access(path, os.X_OK) and subprocess.run(["sh", "-n", path], check=False).returncode == 0
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("#!/bin/sh\n")
+        try:
+            hooks.install(repo, kind)
+            kept = False
+        except hooks.HookError:
+            kept = hooks.installed(repo, kind) == "other"
+        rows.append((kind, *done, able, kept, hooks.install(repo, kind, force=True), hooks.uninstall(repo, kind), hooks.uninstall(repo, kind)))
+    return spark.createDataFrame(rows, "kind string, first boolean, again boolean, runs boolean, other_kept boolean, forced boolean, removed boolean, removed_again boolean")
+
+
+def locks_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a file's lock can be had while it is held, and afterwards."""
+    path, got = f"{folder(spark, 'locked')}/index.json", []
+
+    def free() -> bool:
+        try:
+            with state.exclusive(path, wait=False):
+                return True
+        except BlockingIOError:
+            return False
+
+    with state.exclusive(path):
+        got.append(("held", free()))
+    return spark.createDataFrame([*got, ("released", free())], "moment string, free boolean")
+
+
 QUERIES = {f.__name__: f for f in (
-    bundle_loaded, bundle_rejects, files_collected, documents_rendered, documents_validated, archive_documents, index_saved, index_migrated, index_edited, import_counts, import_plan, index_rebuilt, knowledge_paths, watch_rules, checkpoint_state,
+    hooks_installed, locks_held, bundle_loaded, bundle_rejects, files_collected, documents_rendered, documents_validated, archive_documents, index_saved, index_migrated, index_edited, import_counts, import_plan, index_rebuilt, knowledge_paths, watch_rules, checkpoint_state,
     lint_gate, query_trace, active_filters, service_status, watch_targets, listing_changes, watch_processed, git_tracked, git_commits, git_changed, service_refreshed,
 )}
 
@@ -340,6 +375,8 @@ _AT = _FILES + ", l AS (SELECT source_id AS i, '/r/' || source_id AS path, coale
 _WEEK = "SELECT source_id AS k FROM source_files"
 
 SQL = {
+    "hooks_installed": "SELECT kind, true AS first, false AS again, true AS runs, true AS other_kept, true AS forced, true AS removed, false AS removed_again FROM (VALUES ('post-commit'), ('pre-commit'), ('pre-push')) AS t(kind)",
+    "locks_held": "SELECT * FROM (VALUES ('held', false), ('released', true)) AS t(moment, free)",
     "bundle_loaded": _LOADED + " SELECT path AS file_path, type, title, description, resource, array_to_string(tags, '|') AS tags, stamp AS timestamp, md5(body) AS content_md5 FROM saved WHERE type <> '' AND title <> ''",
     "bundle_rejects": _LOADED + " SELECT path AS file_path, CASE WHEN title = '' THEN 'missing title' ELSE 'missing type' END AS error FROM saved WHERE type = '' OR title = ''",
     "files_collected": KB + ", p AS (SELECT ord, CASE WHEN ord % 5 = 0 THEN '.old/' ELSE 'new/' END || ord || CASE WHEN ord % 3 = 0 THEN '.MD' ELSE '.md' END AS path FROM kb) SELECT 'all' AS how, path FROM p UNION ALL SELECT 'plain', path FROM p WHERE ord % 5 <> 0 AND ord % 3 <> 0",
