@@ -31,6 +31,18 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: set[str] = set()
+
+
+def until_exit(spark: SparkSession) -> None:
+    """Have the file system delete this application's part of the shared folder when the application ends."""
+    where = own_dir(spark)
+    if where not in _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path):
+            _kept.add(where)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
@@ -40,6 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +66,7 @@ class Growing:
     def add(self, df: DataFrame, number: int) -> int:
         """Write a part and tell how many rows it has."""
         df.write.parquet(f"{self.path}/{self.by}={number}")
+        until_exit(self.spark)
         return self.part(number).count()
 
     def part(self, number: int) -> DataFrame:
@@ -83,6 +97,7 @@ def bucketed(df: DataFrame, name: str, by: list[str], n: int) -> DataFrame:
     unique = uuid.uuid4().hex
     table = f"marrow_{unique}"
     df.write.format("parquet").bucketBy(n, *by).option("path", f"{own_dir(spark)}/{name}-{unique}").saveAsTable(table)
+    until_exit(spark)
     try:
         return spark.table(table)
     finally:
