@@ -5,7 +5,7 @@ that length. A span of ``least`` characters holds ``least - block + 1`` such win
 (the leftmost of equals) is its anchor, so equal spans have equal anchors wherever they stand, and one window in
 about ``(least - block + 2) / 2`` becomes an anchor. An anchor that only one record has cannot lie in a shared span;
 it ends there. Hits are extended without ever pairing records: the neighbourhood of an anchor (all spans of ``least``
-characters around it) is compared as one key, and where it is not shared as a whole each span of ``least`` characters
+characters around it) is compared as one key, made where the anchor was found, and where it is not shared as a whole each span of ``least`` characters
 is compared by its own key, so a block that a third of all records hold costs as much as one in two of them. Runs of
 shared spans are then joined to maximal ones.
 
@@ -190,11 +190,17 @@ def shared_spans(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id
     single = docs.where(F.char_length("text") >= least).join(copies.where("doc <> rep").select("doc"), "doc", "left_anti")
 
     def seeds(text: str):
-        h, at, _ = anchors(code_points(text), least)
-        return h.view(np.int64), at.astype(np.int32)
-
-    # 1: anchors that more than one record has
-    found = written(_of_texts(single, "doc long, h long, at int", seeds), "anchors")
+        chars = code_points(text)
+        h, at, _ = anchors(chars, least)
+        whole = (at >= reach) & (at + least <= len(chars))  # the neighbourhood lies within the text
+        k1, k2 = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        if whole.any():
+            start = at[whole] - reach
+            k1[whole], k2[whole] = Rolling(chars).at(start, reach + least).view(np.int64), strong(chars, start, reach + least).view(np.int64)
+        return h.view(np.int64), at.astype(np.int32), k1, k2, whole
+
+    # 1: anchors that more than one record has, with the keys of their neighbourhoods
+    found = written(_of_texts(single, "doc long, h long, at int, k1 long, k2 long, whole boolean", seeds), "anchors")
     common = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("h")
     hits = written(found.join(written(common, "common"), "h", "left_semi"), "hits")
 
@@ -206,17 +212,8 @@ def shared_spans(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id
         keys = rows.groupBy("k1", "k2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("k1", "k2")
         return rows.join(keys, ["k1", "k2"], "left_semi").select("doc", "at")
 
-    # 2: neighbourhoods of those anchors as a whole
-    def neighbourhoods(text: str, where: pa.Scalar):
-        chars = code_points(text)
-        at = np.asarray(where.values, np.int64)
-        at = at[(at >= reach) & (at + least <= len(chars))]
-        if not len(at):
-            return None
-        whole = at - reach
-        return Rolling(chars).at(whole, reach + least).view(np.int64), strong(chars, whole, reach + least).view(np.int64), at.astype(np.int32)
-
-    around = written(in_several(_of_texts(per_text(hits), "doc long, k1 long, k2 long, at int", neighbourhoods, "places")), "around")
+    # 2: those of them that are shared as a whole
+    around = written(in_several(hits.where("whole").select("doc", "k1", "k2", "at")), "around")
 
     # 3: one by one the spans of each anchor that is not shared so in every place where it stands
     def spans(text: str, where: pa.Scalar):
