@@ -319,7 +319,9 @@ def packs(concepts: DataFrame, sources: DataFrame, queries: Sequence[tuple[int,
     if include_relations:
         rows = rows.unionByName(neighbours(best, concepts).select("query_id", "rank", *_HIT, "slot"))
     text = sources.select(F.col("path").alias("source_path"), F.decode(F.substring(F.encode(nz("content"), "utf-8"), 1, SOURCE_BYTES), "utf-8").alias("content"))
-    joined = rows.join(text, "source_path", "left")
+    # a source goes once to each query that needs it, with the first of its candidates
+    once = F.row_number().over(Window.partitionBy("query_id", "source_path").orderBy("rank", "slot")) == 1
+    joined = rows.withColumn("once", once).join(text.withColumnRenamed("source_path", "path"), F.col("once") & (F.col("source_path") == F.col("path")), "left").drop("once", "path")
     texts = dict(queries)
 
     def fold_one(group: pd.DataFrame) -> pd.DataFrame:
