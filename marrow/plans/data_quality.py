@@ -142,8 +142,34 @@ SELECT ord, utc_micros FROM (
   UNION SELECT ord, (u + hits[1]) * 1000000 + micros FROM back WHERE len(hits) = 1
   UNION SELECT ord, ((n || rpad(left(nf, 6), 6, '0'))::HUGEINT // pow(10, p)::HUGEINT)::BIGINT FROM (SELECT ord, n, nf, unnest([0, 3, 6, 9]) AS p FROM parts WHERE n <> '' AND length(n) <= 21) WHERE n::HUGEINT // pow(10, p)::HUGEINT >= 1420070400 AND n::HUGEINT // pow(10, p)::HUGEINT < 1893456000)
 """
+# The same for every row, with the reason where there is no instant.
+_JUDGED = (
+    _INSTANTS[: _INSTANTS.index("), walls AS (")]
+    .replace("  FROM c WHERE s <> ''\n", "  FROM c\n")
+    .replace("SELECT ord, time_zone, lower(trim(date_order)) AS date_order,", "SELECT ord, raw, time_zone, lower(trim(date_order)) AS date_order,")
+    .replace("SELECT ord, time_zone, e.n AS n", "SELECT ord, raw, s, time_zone, e.n AS n")
+    .replace("SELECT ord, time_zone, n, nf, k,", "SELECT ord, raw, s, time_zone, n, nf, k, k = 'a' AND a.p <> '' AND coalesce(date_order, '') NOT IN ('dmy', 'mdy') AND try_cast(a.p AS INT) <> try_cast(a.q AS INT) AS unordered,")
+    .replace(" FROM fields WHERE k <> '' AND NOT bad", " FROM fields")
+) + r"""), timed AS (
+  SELECT *, CASE WHEN ap = '' THEN coalesce(try_cast(hh AS INT), 0) ELSE try_cast(hh AS INT) % 12 + CASE WHEN ap = 'pm' THEN 12 ELSE 0 END END AS h, coalesce(try_cast(mi AS INT), 0) AS mn, coalesce(try_cast(ss AS INT), 0) AS sc,
+    CASE WHEN f = '' THEN 0 ELSE rpad(left(f, 6), 6, '0')::BIGINT END AS micros, CASE WHEN o.sign = '+' THEN 1 ELSE -1 END * (coalesce(try_cast(o.oh AS INT), 0) * 60 + coalesce(try_cast(o.om AS INT), 0)) AS away,
+    (SELECT any_value(offset_minutes) FROM zone_codes WHERE upper(zone_code) = upper(o.code)) AS coded, CASE WHEN z = '' THEN time_zone ELSE o.name || o.name2 END AS zone FROM days
+), judged AS (
+  SELECT *, epoch(day)::BIGINT + h * 3600 + mn * 60 + sc AS wall, CASE WHEN s = '' THEN 'absent' WHEN n <> '' THEN 'number' WHEN k = '' OR bad OR (z <> '' AND o.sign || o.u || o.name || o.name2 || o.code = '') THEN 'unknown shape' WHEN unordered THEN 'order of day and month not known'
+    WHEN day IS NULL THEN 'impossible date' WHEN w <> '' AND w NOT IN (lower(dayname(day)), lower(dayname(day))[:3]) THEN 'contradicting day of the week' WHEN ap <> '' AND try_cast(hh AS INT) NOT BETWEEN 1 AND 12 OR h > 23 OR mn > 59 OR sc > 59 THEN 'impossible time'
+    WHEN o.sign <> '' THEN CASE WHEN coalesce(try_cast(o.om AS INT), 0) > 59 OR away NOT BETWEEN -720 AND 840 THEN 'impossible offset' ELSE 'offset' END WHEN o.u <> '' THEN CASE WHEN upper(o.u) = 'Z' THEN 'offset' ELSE 'unknown zone' END
+    WHEN o.code <> '' THEN CASE WHEN coded IS NULL THEN 'unknown zone' ELSE 'coded' END WHEN coalesce(zone, '') = '' THEN 'no zone' WHEN zone NOT IN (SELECT name FROM pg_timezone_names()) THEN 'unknown zone' ELSE 'zone' END AS how FROM timed
+), zoned AS (
+  SELECT ord, wall, epoch(timezone(zone, make_timestamp(wall * 1000000)))::BIGINT AS u, zone FROM judged WHERE how = 'zone'
+), back AS (SELECT ord, u, list_filter([0, -1800, 1800, -3600, 3600, -7200, 7200, -10800, 10800], lambda k: epoch(timezone(zone, to_timestamp(u + k)))::BIGINT = wall) AS hits FROM zoned),
+plain AS (SELECT ord, any_value(((n || rpad(left(nf, 6), 6, '0'))::HUGEINT // pow(10, p)::HUGEINT)::BIGINT) AS v FROM (SELECT ord, n, nf, unnest([0, 3, 6, 9]) AS p FROM parts WHERE n <> '' AND length(n) <= 21) WHERE n::HUGEINT // pow(10, p)::HUGEINT >= 1420070400 AND n::HUGEINT // pow(10, p)::HUGEINT < 1893456000 GROUP BY ord)
+SELECT ord, raw AS concept_ts, CASE how WHEN 'number' THEN v WHEN 'offset' THEN (wall - CASE WHEN o.sign <> '' THEN away ELSE 0 END * 60) * 1000000 + micros WHEN 'coded' THEN (wall - coded * 60) * 1000000 + micros WHEN 'zone' THEN CASE WHEN len(hits) = 1 THEN (u + hits[1]) * 1000000 + micros END END AS utc_micros,
+  CASE how WHEN 'number' THEN CASE WHEN v IS NULL THEN 'impossible number' ELSE 'ok' END WHEN 'zone' THEN CASE len(hits) WHEN 0 THEN 'skipped wall time' WHEN 1 THEN 'ok' ELSE 'repeated wall time' END WHEN 'offset' THEN 'ok' WHEN 'coded' THEN 'ok' ELSE how END AS status
+FROM judged LEFT JOIN back USING (ord) LEFT JOIN plain USING (ord)
+"""
 SQL = {
     "p4_found": _INSTANTS,
+    "p4_instants": _JUDGED,
     "p5_found": _ORPHANS + "SELECT DISTINCT relation_id FROM orphan",
     "p5_levels": _ORPHANS + _NAMED_LEVELS + "SELECT CASE WHEN k LIKE 'id:%' THEN 'target_id' ELSE 'target_ref' END AS column_name, level, count(*) AS n FROM found GROUP BY 1, 2",
     "p5_cascade": _ORPHANS + _LEVELS + "SELECT relation_id, level FROM levels",
