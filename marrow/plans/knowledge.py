@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marrow.functions.text import norm_key
 from marrow.operators import bundle, lint, predicates, rank
 from marrow.operators.predicates import Query
 from marrow.plans.tables import ENTITIES, KB, concepts, once, relation_concepts, symbol_concepts
@@ -173,7 +174,20 @@ def title_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.title_counts(once(concepts(spark, sf_dir).select("ord", "title")))
 
 
+def criteria_intersected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that two indexes agree upon."""
+    c = once(concepts(spark, sf_dir).select("ord", "type", "tags"))
+    return predicates.indexed_by_type(c, "code_file").join(predicates.indexed_by_tag(c, "code").select("ord"), "ord", "left_semi").select("ord")
+
+
+def keys_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resources in the form in which fields are compared."""
+    c = once(concepts(spark, sf_dir).select("ord", "resource", "title"))
+    return c.select("ord", norm_key(F.concat(F.lit("  "), F.col("resource"), F.lit("\t"))).alias("resource"), norm_key(F.col("title")).alias("title"))
+
+
 QUERIES = {f.__name__: f for f in (
+    criteria_intersected, keys_normalised,
     filter_type_tags_text, filter_resource_regex, invalid_regex_matches_nothing, search_unicode, search_ascii, search_symbols, filter_by_tag_dups, filter_by_tag_once,
     filter_by_type_empty, filter_by_resource, get_first, remove_first, add_concept, related_concepts, bundle_stats_summary, bundle_stats_types, bundle_stats_tags, overlay_dedup,
     symbols_extract, relation_rows_extract, code_filters, code_relation_filters, exact_postfilter, dispatch_search, ranked_search, ranked_symbols, ranked_all, ranked_batch,
@@ -253,6 +267,8 @@ issue AS (
 _KEYS = """, one AS (SELECT * FROM kb WHERE title = 'Overview' ORDER BY ord LIMIT 1)"""
 
 SQL = {
+    "criteria_intersected": KB + "SELECT ord FROM kb WHERE type = 'code_file' AND list_contains(tags, 'code')",
+    "keys_normalised": KB + r"SELECT ord, lower(trim(replace(resource, '\', '/'), chr(9) || chr(10) || chr(13) || ' ')) AS resource, lower(trim(replace(title, '\', '/'), chr(9) || chr(10) || chr(13) || ' ')) AS title FROM kb",
     "filter_type_tags_text": KB + f"SELECT ord, title FROM kb WHERE type = 'code_file' AND list_contains(tags, 'code') AND list_contains(tags, 'generated') AND {_TEXT.format(chr(39) + 'MARKER' + chr(39))}",
     "filter_resource_regex": KB + r"SELECT ord, title FROM kb WHERE contains(lower(resource), 'code://') AND regexp_matches(title, '^\w+ \w+ \w+$') AND regexp_matches(description, '\.$') AND regexp_matches(content, '(?m)^#+ \w+')",
     "invalid_regex_matches_nothing": KB + "SELECT ord, title FROM kb WHERE false",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions.text import clean_path, glob_matches, nz
-from marrow.operators import changes, codegraph
+from marrow.operators import changes, codegraph, rank
 from marrow.plans.tables import ENTITIES, KB, concepts, entities, once, table
 
 
@@ -227,7 +227,31 @@ def upsert_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert(c, again.unionByName(dead)).select("ord", "title")
 
 
+def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The package of each file, and by what its entities are known."""
+    return entity_summaries(spark, sf_dir).select("repository_id", "path", codegraph.package_name().alias("package"), codegraph.summary_provenance().alias("provenance"))
+
+
+def symbol_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of Go symbols as they are shown, alone and with their package."""
+    s = codegraph.summaries(files(spark, sf_dir)).select("repository_id", "path", F.explode("symbols").alias("s"))
+    return s.select("repository_id", "path", F.col("s.start_line").alias("start_line"), codegraph.display_name(F.col("s")).alias("shown"), codegraph.qualified_name(F.col("s")).alias("qualified"))
+
+
+def relations_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations with their places in the order of relations."""
+    r = codegraph.relations(entity_summaries(spark, sf_dir)).select("kind", "source_id", "target_id", "target_ref", "file_path", "line_no")
+    return rank.numbered(r.orderBy(*codegraph.relation_order()), "place")
+
+
+def repository_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of repositories by the folders where they lie."""
+    roots = [r[0] for r in table(spark, sf_dir, "repositories").select("repository_id").collect()]  # of fixed size
+    return spark.createDataFrame([(r, codegraph.repository_id(r)) for r in [*(f"/srv/my {r}/" for r in roots), "/", "."]], "root string, name string")
+
+
 QUERIES = {f.__name__: f for f in (
+    package_names, symbol_names, relations_ordered, repository_names,
     file_types, imports_extract, functions_extract, file_summaries, line_counts, go_symbols, file_concepts, summaries_read_back, relationship_graph, relationship_lines, code_entities, code_relations,
     language_counts, symbol_counts, map_graph_nodes, map_graph_edges, map_graph_files, git_metadata, authors_top10, dir_tree, relation_index_report, structure_report, contributors_report, report_concepts, include_files, glob_match, path_clean, detect_changes, detect_counts,
     index_after_import, merge_strategies, upsert_incremental,
@@ -314,6 +338,15 @@ summary AS (SELECT f.*, CASE WHEN content = '' THEN 0 ELSE len(content) - len(re
 """
 
 SQL = {
+    "package_names": _SUMMARY + "SELECT repo AS repository_id, path, pkg AS package, prov AS provenance FROM f",
+    "symbol_names": _GO + ", d AS (SELECT *, CASE WHEN receiver <> '' THEN receiver || '.' || name ELSE name END AS shown FROM go) SELECT repository_id, path, start_line, shown, package || '.' || shown AS qualified FROM d",
+    "relations_ordered": _IDS + """, r AS (
+  SELECT rid AS source_id, id AS target_id, '' AS target_ref, 'contains' AS kind, path AS file_path, 0 AS line_no FROM fid
+  UNION SELECT rid, pid, '', 'contains', '', 0 FROM fid WHERE pkg <> '' UNION SELECT pid, id, '', 'contains', path, 0 FROM fid WHERE pkg <> ''
+  UNION SELECT fid.id, iid.id, target, 'imports', path, 0 FROM fid JOIN iid USING (repo, path)
+  UNION SELECT fid.id, sid.id, '', 'contains', path, a FROM fid JOIN sid USING (repo, path) UNION SELECT pid, sid.id, '', 'contains', path, a FROM fid JOIN sid USING (repo, path) WHERE pkg <> '')
+SELECT *, row_number() OVER (ORDER BY kind, source_id, target_id, target_ref, file_path, line_no) AS place FROM r""",
+    "repository_names": "SELECT '/srv/my ' || repository_id || '/' AS root, 'my-' || repository_id AS name FROM repositories UNION ALL SELECT r, left(sha1(r), 12) FROM (VALUES ('/'), ('.')) AS t(r)",
     "file_types": _FILES + " SELECT type, count(*) AS n FROM f GROUP BY type",
     "imports_extract": _lines_sql(codegraph.IMPORTS),
     "functions_extract": _lines_sql(codegraph.FUNCTIONS, "AND strlen(name) < 80"),

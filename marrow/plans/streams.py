@@ -51,7 +51,14 @@ def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(spark.read.schema(bursts.schema).parquet(f"{where}/out"))
 
 
-QUERIES = {f.__name__: f for f in (debounce_sessions, watch_matches, debounce_stream)}
+def debounce_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of each path by each rule that matches it, the rules waiting six hours and one."""
+    config = watch_config({"rules": [{"sources": ["/src"], "debounce": "6h"}, {"sources": ["/src"], "patterns": ["u1*.md"], "debounce": "1h"}]}, "/")
+    rows = watch.matched(_events(spark, sf_dir).withColumn("op", F.lit("write")), config, every_rule=True)
+    return watch.debounced(rows, watch.rule_gap(), keys=("path", "rule")).groupBy("path", "rule").agg(F.count("*").alias("bursts"), F.sum("n").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (debounce_sessions, watch_matches, debounce_stream, debounce_rules)}
 
 _BURSTS = """
 WITH e AS (SELECT '/src/u' || user_id || '.md' AS path, ts, event_type AS op FROM events),
@@ -60,6 +67,10 @@ s AS (SELECT *, sum(begins) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED P
 SELECT path, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, arg_max(op, ts) AS op FROM s GROUP BY path, burst"""
 
 SQL = {
+    "debounce_rules": """
+WITH e AS (SELECT '/src/u' || user_id || '.md' AS path, ts, 0 AS rule, INTERVAL 6 HOUR AS gap FROM events UNION ALL SELECT '/src/u' || user_id || '.md', ts, 1, INTERVAL 1 HOUR FROM events WHERE starts_with(user_id::VARCHAR, '1')),
+b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path, rule ORDER BY ts) <= gap THEN 0 ELSE 1 END AS begins FROM e)
+SELECT path, rule, sum(begins)::BIGINT AS bursts, count(*) AS n FROM b GROUP BY path, rule""",
     "debounce_sessions": _BURSTS,
     # a burst is told once its quiet time ends before the watermark, a day behind the last event
     "debounce_stream": _BURSTS + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
