@@ -268,7 +268,7 @@ _KEYS = """, one AS (SELECT * FROM kb WHERE title = 'Overview' ORDER BY ord LIMI
 
 SQL = {
     "criteria_intersected": KB + "SELECT ord FROM kb WHERE type = 'code_file' AND list_contains(tags, 'code')",
-    "keys_normalised": KB + r"SELECT ord, lower(trim(replace(resource, '\', '/'), chr(9) || chr(10) || chr(13) || ' ')) AS resource, lower(trim(replace(title, '\', '/'), chr(9) || chr(10) || chr(13) || ' ')) AS title FROM kb",
+    "keys_normalised": KB + "SELECT ord, lower(trim(resource, chr(9) || chr(10) || chr(13) || ' ')) AS resource, lower(trim(title, chr(9) || chr(10) || chr(13) || ' ')) AS title FROM kb",
     "filter_type_tags_text": KB + f"SELECT ord, title FROM kb WHERE type = 'code_file' AND list_contains(tags, 'code') AND list_contains(tags, 'generated') AND {_TEXT.format(chr(39) + 'MARKER' + chr(39))}",
     "filter_resource_regex": KB + r"SELECT ord, title FROM kb WHERE contains(lower(resource), 'code://') AND regexp_matches(title, '^\w+ \w+ \w+$') AND regexp_matches(description, '\.$') AND regexp_matches(content, '(?m)^#+ \w+')",
     "invalid_regex_matches_nothing": KB + "SELECT ord, title FROM kb WHERE false",
