@@ -153,3 +153,45 @@ def test_salted_join_is_a_join(spark):
         want = many.join(few, "key", how)
         got = skew.salted_join(many, few, "key", how, spread="id")
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr), how
+
+
+def brute_levels(relations, entities):
+    """Levels by plain search: lives of targets, then faults passed on from record to record by all their keys."""
+    lives, keys = {}, {}
+    for e, x, begins, ends, _ in entities:
+        for k in ([("id", e)] if e else []) + ([("ext", x)] if x else []):
+            lives.setdefault(k, []).append((begins, ends))
+            keys.setdefault(e, set()).add(k)
+    refs = {(r, s, ("id", t) if t else ("ext", x), at) for r, s, t, x, at, _ in relations if t or x}
+    level = {r: 0 for r, _, k, at in refs if not any(a <= at and (b is None or at < b) for a, b in lives.get(k, []))}
+    reached, frontier, n = set(), {s for r, s, *_ in refs if level.get(r) == 0}, 0
+    while frontier:
+        reached |= frontier
+        faulty = set().union(*({("id", s)} | keys.get(s, set()) for s in frontier))
+        n += 1
+        found = {(r, s) for r, s, k, _ in refs if k in faulty and r not in level}
+        level |= {r: n for r, _ in found}
+        frontier = {s for r, s, k, _ in refs if k in faulty} - reached
+    return level
+
+
+def test_levels_of_a_random_graph_with_a_hot_target(spark):
+    import random
+
+    rnd = random.Random(11)
+    names = [f"e{k}" for k in range(120)]
+    entities = [(e, f"x{k % 90}" if k % 3 else None, D(rnd.randint(1, 5)), D(rnd.randint(20, 28)) if k % 17 == 0 else None, "") for k, e in enumerate(names)]
+    relations = []
+    for r in range(1500):
+        target = "e7" if r % 3 == 0 else rnd.choice([*names, "lost"]) if r % 29 == 0 else rnd.choice(names)
+        by_ref = r % 5 == 1
+        relations.append((r, f"s{r}" if r % 3 == 0 else rnd.choice(names) if r % 4 == 0 else f"leaf{r}", "" if by_ref else target, rnd.choice([f"x{rnd.randint(0, 89)}"]) if by_ref else None, D(rnd.randint(6, 19)) if r % 50 else D(3), ""))
+    want = brute_levels(relations, entities)
+    assert len(set(want.values())) > 3
+    tables = spark.createDataFrame(relations + relations[:100], RELATION), spark.createDataFrame(entities, ENTITY), spark.createDataFrame([], "entity_id string, external_id string")
+    assert "id:e7" in skew.hot_keys(orphans.references(tables[0]), "key")
+    assert {r["relation_id"]: r["level"] for r in orphans.levels(*tables).collect()} == want
+    rows = orphans.level_counts(*tables).collect()
+    assert {(r["level"]) for r in rows} == set(want.values()) and sum(r["n"] for r in rows) == len(want)
+    empty = tuple(t.limit(0) for t in tables)
+    assert orphans.levels(*empty).count() == 0 and orphans.report(*empty).count() == 0
