@@ -5,8 +5,8 @@ capacity. So the sizes are counted by Spark, the plan is made over that histogra
 many items there are), and items take their places by size and rank in one more pass.
 
 The plan: a container begins with the largest size left. While its gap has no exact complement (one size, a pair or a
-triple of sizes that sum to the gap, looked up in indexes of present sizes and of pair sums, under the counts still
-available) the largest size that fits is added; an exact complement closes the container without a unit unused.
+triple of sizes that sum to the gap, looked up in indexes of present sizes, of pair sums and of triple sums, under the
+counts still available) the largest size that fits is added; an exact complement closes the container without a unit unused.
 The same filling is repeated as often as the counts allow, so every filling uses up a size. What no exact complement
 takes is filled best-fit.
 
@@ -49,7 +49,7 @@ class Filling:
 
 
 class _Sums:
-    """Index of the sizes present and of the sums of two of them; it may hold sums that counts no longer allow."""
+    """Indexes of the sizes present and of the sums of two and of three of them; they may hold sums that counts no longer allow."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
@@ -58,9 +58,9 @@ class _Sums:
     def refresh(self) -> None:
         self.stale = 0
         present = (self.counts > 0).astype(np.float64)
-        n = 1 << int(2 * len(present)).bit_length()
+        n = 1 << int(3 * len(present)).bit_length()
         f = np.fft.rfft(present, n)
-        self.pair = np.rint(np.fft.irfft(f * f, n)[: len(present)]).astype(np.int64) > 0
+        self.pair, self.triple = (np.rint(np.fft.irfft(f**k, n)[: len(present)]).astype(np.int64) > 0 for k in (2, 3))
 
     def _allowed(self, have: np.ndarray, used: Counter) -> bool:
         return all(have[s] >= k for s, k in used.items())
@@ -76,6 +76,8 @@ class _Sums:
                 free[s] -= k
         if self.pair[gap] and (p := self._pair(free, gap)):
             return p
+        if not self.triple[gap]:
+            return None
         firsts = self._firsts(free, gap)
         if len(firsts) > TRIES:  # many in vain: the sums are out of date, and the rest is tried by those there are now
             if p := self._triple(free, gap, firsts[:TRIES]):
